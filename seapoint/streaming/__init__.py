@@ -1,0 +1,4 @@
+"""Deliberately empty: every reading is a batch answer to a table of requests.
+
+There is no watermark, stream window or state in what this engine computes.
+"""
