@@ -1,0 +1,46 @@
+"""Compare a Spark result with its SQL counterpart, row by row, whatever the order."""
+
+import duckdb
+import pandas as pd
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages"
+    " benchmark labels conversations"
+).split()
+
+
+def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    return con
+
+
+def _comparable(rows: pd.DataFrame) -> pd.DataFrame:
+    out = {}
+    for name in sorted(rows.columns):
+        column = rows[name]
+        if pd.api.types.is_datetime64_any_dtype(column):
+            column = column.astype("datetime64[us]").astype(str)
+        elif pd.api.types.is_float_dtype(column):
+            column = column.astype(float).map(repr)
+        elif column.dtype == object or pd.api.types.is_bool_dtype(column):
+            column = column.map(lambda v: "NULL" if pd.isna(v) else str(v))
+        else:
+            column = column.astype(str)
+        out[name] = column.replace({"nan": "NULL", "NaT": "NULL", "<NA>": "NULL"})
+    frame = pd.DataFrame(out)
+    return frame.sort_values(list(frame.columns)).reset_index(drop=True)
+
+
+def differences(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str:
+    """Empty when both hold the same rows; else what differs."""
+    if sorted(spark_rows.columns) != sorted(sql_rows.columns):
+        return f"columns {sorted(spark_rows.columns)} vs {sorted(sql_rows.columns)}"
+    if len(spark_rows) != len(sql_rows):
+        return f"{len(spark_rows)} rows vs {len(sql_rows)}"
+    left, right = _comparable(spark_rows), _comparable(sql_rows)
+    unequal = (left != right).any(axis=1)
+    if unequal.any():
+        return f"{unequal.sum()} rows differ:\n{left[unequal].head(3)}\n{right[unequal].head(3)}"
+    return ""
