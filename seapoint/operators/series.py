@@ -7,9 +7,9 @@ Rules, per question:
   * without any, one valid instant outside the window, at most the offset limit away: smallest
     offset, before rather than after, then the nearest cell.
 
-All of it comes from one match and two aggregates. The first folds the rows of a question by
-level and cell: that is at most the instants of a day and a few hours. The second picks among the
-cells of one box by struct minimum, with the level in front, so that only the shallowest level
+All of it comes from one match and three aggregates. The first folds depth levels, the second the
+rows of a question by level and cell: that is at most the instants of a day and a few hours. The
+third picks among the cells of one box by struct minimum, with the level in front, so that only the shallowest level
 can win, and "nothing usable here" right behind it.
 """
 
@@ -26,7 +26,7 @@ from seapoint.functions.instants import (
 )
 from seapoint.functions.readings import coverage_fraction, series_status
 from seapoint.plans.completion import per_request
-from seapoint.plans.match import match
+from seapoint.plans.match import JOIN_KEYS, match
 from seapoint.schemas import series_readings
 from seapoint.sources.observations import of_product
 from seapoint.sources.products import DEPTH_REQUESTED_M, SALINITY, TEMPERATURE, Product
@@ -45,12 +45,32 @@ def widened_questions(requests: DataFrame, product: Product) -> DataFrame:
 
 
 def classified(asked: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
-    """All rows of the widened window, missing ones too, with ``offset`` and ``is_inside``."""
+    """All rows of the widened window, missing ones too, with ``offset`` and ``is_inside``.
+
+    Levels are folded first: per question, cell and instant only the shallowest can ever be used
+    (a row on the level that wins has no level above it), and the instant itself stays. The
+    grouping names the join keys as well, which changes no group but lets Spark do it inside
+    the partitions of a shuffled match, without another shuffle.
+    """
     reach = hours_interval(product.max_offset_h)
     start, end = F.col("first_utc") + reach, F.col("last_utc") - reach
-    return (
+    valid_depth = F.when(F.col("value").isNotNull(), F.col("depth_m"))
+    shallowest = (
         match(asked, of_product(observations, product), POINT_AND_HOURS)
-        .withColumn("offset", time_outside(F.col("time_utc"), start, end))
+        .groupBy(
+            *JOIN_KEYS, *POINT_AND_HOURS, "first_utc", "last_utc", "time_utc", "cell_lat", "cell_lon"
+        )
+        .agg(
+            F.min("depth_m").alias("depth_m"),
+            F.min(valid_depth).alias("valid_depth"),
+            F.min_by("value", valid_depth).alias("shallowest_value"),
+        )
+        .withColumn(
+            "value", F.when(F.col("valid_depth") == F.col("depth_m"), F.col("shallowest_value"))
+        )
+    )
+    return (
+        shallowest.withColumn("offset", time_outside(F.col("time_utc"), start, end))
         .withColumn("is_inside", F.col("time_utc").between(start, end))
         .withColumn("is_after", F.col("time_utc") > end)
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seapoint.plans.skew import HOT_ROWS, split_join
+from seapoint.plans.skew import HOT_ROWS, PART, split_join
 
 
 def first_by(rows: DataFrame, keys: tuple[str, ...], order: list[Column], name: str) -> DataFrame:
@@ -32,4 +32,4 @@ def per_request(
         asked.where(F.col("n_copies") > hot_rows)
         .select(*keys, F.ceil(F.col("n_copies") / hot_rows).alias("n_parts"))
     )
-    return split_join(requests, answers, list(keys), ["request_id"], hot, how)
+    return split_join(requests, answers, list(keys), ["request_id"], hot, how).drop(PART)

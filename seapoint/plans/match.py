@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seapoint.functions.geo import HALF_WIDTH_DEG, TILE_DEG, in_box, tiles_of_box
-from seapoint.plans.skew import HOT_ROWS, hot_keys, split_join
+from seapoint.plans.skew import HOT_ROWS, PART, hot_keys, split_join
 from seapoint.sources.observations import TILE_KEYS, with_tiles
 
+# A question, a cell and an instant meet on exactly one combination of these.
+JOIN_KEYS = (*TILE_KEYS, PART)
+
 
 def match(
     asked: DataFrame,
@@ -27,8 +30,8 @@ def match(
 ) -> DataFrame:
     """Pairs of a question and an observation inside its closed box and time range.
 
-    The result has the ``question`` columns, ``first_utc`` and ``last_utc``, and the
-    observation's ``time_utc, depth_m, cell_lat, cell_lon, value``.
+    The result has the ``question`` columns, ``first_utc`` and ``last_utc``, the observation's
+    ``time_utc, depth_m, cell_lat, cell_lon, value``, and the ``JOIN_KEYS`` the pair met on.
     """
     keys = list(TILE_KEYS)
     placed = (
@@ -44,11 +47,7 @@ def match(
         *keys, "time_utc", "depth_m", "cell_lat", "cell_lon", "value"
     )
     hot = hot_keys(placed, keys, F.lit(1), hot_rows)
-    return (
-        split_join(placed, gridded, keys, list(question), hot)
-        .where(
-            in_box(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"), half_width)
-            & F.col("time_utc").between(F.col("first_utc"), F.col("last_utc"))
-        )
-        .drop(*keys)
+    return split_join(placed, gridded, keys, list(question), hot).where(
+        in_box(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"), half_width)
+        & F.col("time_utc").between(F.col("first_utc"), F.col("last_utc"))
     )

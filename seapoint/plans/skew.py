@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 250_000
 
 _PARTS = "n_parts"
-_PART = "part"
+PART = "part"
 
 
 def hot_keys(rows: DataFrame, keys: list[str], weight: Column, hot_rows: int) -> DataFrame:
@@ -37,17 +37,18 @@ def split_join(
 ) -> DataFrame:
     """Join on ``keys``; rows of ``crowded`` with a hot key are spread by a hash of ``spread_by``.
 
-    ``how`` may be ``inner`` or ``left`` (every row of ``crowded`` kept).
+    ``how`` may be ``inner`` or ``left`` (every row of ``crowded`` kept). The result keeps the
+    number of the ``part``, so that a later grouping can stay within the partitions of the join.
     """
     parts = F.coalesce(F.col(_PARTS), F.lit(1))
     spread = (
         crowded.join(F.broadcast(hot), keys, "left")
-        .withColumn(_PART, F.pmod(F.xxhash64(*spread_by), parts))
+        .withColumn(PART, F.pmod(F.xxhash64(*spread_by), parts))
         .drop(_PARTS)
     )
     repeated = (
         other.join(F.broadcast(hot), keys, "left")
-        .withColumn(_PART, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        .withColumn(PART, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
         .drop(_PARTS)
     )
-    return spread.join(repeated, [*keys, _PART], how).drop(_PART)
+    return spread.join(repeated, [*keys, PART], how)

@@ -100,21 +100,22 @@ def questions(
     is matched once. ``first`` and ``last`` are worked out here, once per question, as
     ``first_utc`` and ``last_utc``.
 
-    A question that cannot match anything (no point, no range) is left out, and the filter also
-    looks at ``n_copies``: that way every use of the questions has the same plan below it, and
-    Spark runs the shuffle of the questions once and reuses it.
+    The plan below the questions is the same wherever they are used, so Spark runs their shuffle
+    once and reuses it. For that, points and dates that cannot match are left out explicitly (not
+    only where a join would infer it), the range is marked as never NULL (else the zone
+    conversion would be pushed down to every single request), and ``n_copies`` is always needed.
     """
+    never = F.lit("1970-01-01").cast("timestamp_ntz")
     return (
-        requests.groupBy(*keys)
+        requests.where(
+            F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("date").isNotNull()
+        )
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_copies"))
-        .withColumns({"first_utc": first, "last_utc": last})
-        .where(
-            F.col("lat").isNotNull()
-            & F.col("lon").isNotNull()
-            & F.col("first_utc").isNotNull()
-            & F.col("last_utc").isNotNull()
-            & (F.col("n_copies") > 0)
+        .withColumns(
+            {"first_utc": F.coalesce(first, never), "last_utc": F.coalesce(last, never)}
         )
+        .where(F.col("n_copies") > 0)
     )
 
 

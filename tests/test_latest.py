@@ -1,0 +1,117 @@
+import pytest
+from cases import FAR, LON, NAN, NEAR, OUT, Cases, at
+from pyspark.sql import functions as F
+
+from seapoint import CHLOROPHYLL, chlorophyll_latest
+from seapoint.functions.readings import LATEST_STATUSES
+from seapoint.operators.latest import newest_then_nearest
+
+
+def day(n):
+    return at(f"2026-08-{n:02d} 00:00")
+
+
+@pytest.fixture(scope="module")
+def readings(spark):
+    c = Cases(CHLOROPHYLL, "2026-08-12")
+    c.add("evening of the previous date", {NEAR: [0.5]}, [day(12)])
+    c.add("same date", {NEAR: [0.75]}, [day(13)])
+    c.add("recent", {NEAR: [0.6]}, [day(11)])
+    c.add("exactly 72 h", {NEAR: [0.61]}, [at("2026-08-10 04:59:59")])
+    c.add("over 72 h", {NEAR: [0.62]}, [at("2026-08-10 04:59:58")])
+    c.add("a microsecond over 72 h", {NEAR: [0.62]}, [at("2026-08-10 04:59:58.999999")])
+    c.add("future", {NEAR: [9.9]}, [day(14)])
+    c.add("newest valid", {NEAR: [0.30, 0.55, NAN]}, [day(11), day(12), day(13)])
+    c.add("nearest, not largest", {NEAR: [0.40], FAR: [7.90]}, [day(13)])
+    c.add("nearest missing", {NEAR: [NAN], FAR: [0.63]}, [day(13)])
+    c.add("only too far", {OUT: [0.9]}, [day(13)])
+    c.add(
+        "one valid of four",
+        {
+            (-12.500, NEAR): [NAN],
+            (-12.500, FAR): [0.52],
+            (-12.442, NEAR): [None],
+            (-12.442, FAR): [NAN],
+        },
+        [day(13)],
+    )
+    c.add("nothing", {}, [])
+    c.add("hours do not matter", {NEAR: [0.75]}, [day(13)], hours=(10, 5))
+    return c.run(spark, chlorophyll_latest)
+
+
+@pytest.mark.parametrize(
+    "case, value, status, time, age",
+    [
+        ("evening of the previous date", 0.5, "valida_reciente", day(12), 28.999722),
+        ("same date", 0.75, "valida_en_fecha_local", day(13), 4.999722),
+        ("recent", 0.6, "valida_reciente", day(11), 52.999722),
+        ("exactly 72 h", 0.61, "valida_reciente", at("2026-08-10 04:59:59"), 72.0),
+        ("newest valid", 0.55, "valida_reciente", day(12), 28.999722),
+        ("hours do not matter", 0.75, "valida_en_fecha_local", day(13), 4.999722),
+    ],
+)
+def test_instant(readings, case, value, status, time, age):
+    r = readings[case]
+    assert (r["value_mg_m3"], r["status"], r["time_utc"]) == (value, status, time)
+    assert r["temporal_age_hours"] == pytest.approx(age, abs=1e-6)
+    assert r["inside_requested_local_date"] is (status == "valida_en_fecha_local")
+
+
+def test_local_date_is_taken_after_conversion(readings):
+    assert readings["recent"]["time_local"] == at("2026-08-10 19:00")
+    assert readings["same date"]["time_local"] == at("2026-08-12 19:00")
+
+
+@pytest.mark.parametrize(
+    "case, value, cell",
+    [
+        ("nearest, not largest", 0.40, (-12.5, NEAR)),
+        ("nearest missing", 0.63, (-12.5, FAR)),
+        ("one valid of four", 0.52, (-12.5, FAR)),
+    ],
+)
+def test_cell(readings, case, value, cell):
+    r = readings[case]
+    assert r["value_mg_m3"] == value and (r["cell_lat"], r["cell_lon"]) == cell
+
+
+@pytest.mark.parametrize(
+    "case", ["over 72 h", "a microsecond over 72 h", "future", "only too far", "nothing"]
+)
+def test_no_data(readings, case):
+    r = readings[case]
+    assert r["status"] == "sin_datos"
+    for field in (
+        "value_mg_m3 time_utc time_local temporal_age_hours inside_requested_local_date"
+        " cell_lat cell_lon distance_km"
+    ).split():
+        assert r[field] is None, field
+
+
+def test_provenance_and_fields(readings):
+    for r in readings.values():
+        assert (r["dataset_id"], r["units"]) == (CHLOROPHYLL.dataset_id, "milligram m-3")
+        assert r["scope_warning"] == CHLOROPHYLL.scope_warning and "standard_name" not in r
+        assert r["status"] in LATEST_STATUSES
+
+
+def test_ties_at_equal_distance(spark):
+    rows = spark.createDataFrame(
+        [
+            (1, -12.442, LON, 0.1),
+            (1, -12.500, LON, 0.2),
+            (2, -12.5, -76.740, 0.3),
+            (2, -12.5, -76.840, 0.4),
+        ],
+        "k int, cell_lat double, cell_lon double, value double",
+    ).withColumns(
+        {
+            "distance_km": F.lit(4.0),
+            "time_utc": F.lit("2026-08-13").cast("timestamp_ntz"),
+            "age": F.make_dt_interval(hours=F.lit(5)),
+        }
+    )
+    top = {r.k: r.top for r in newest_then_nearest(rows, ("k",)).collect()}
+    assert top[1].cell_lat == -12.5 and top[1].value == 0.2
+    assert top[2].cell_lon == -76.84 and top[2].value == 0.4

@@ -1,0 +1,43 @@
+"""Every registered query against its SQL counterpart, over whole tables."""
+
+import pytest
+from oracle_check import connection, differences
+
+from __spark_entry__ import entry, oracle_sql, queries
+from seapoint.schemas import WAVE_READINGS
+
+SF = "/root/testdata/sf0.01"
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = connection(SF)
+    yield con
+    con.close()
+
+
+def test_every_query_has_sql():
+    assert set(queries()) == set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_same_rows(spark, duck, name):
+    rows = queries()[name](spark, SF)
+    expected = duck.sql(oracle_sql()[name])
+    types = dict(zip(expected.columns, map(str, expected.types), strict=True))
+    assert {c: TYPES[t] for c, t in rows.dtypes} == types
+    assert differences(rows.toPandas(), expected.df()) == ""
+
+
+def test_entry(spark):
+    rows = entry(spark)
+    assert rows.schema == WAVE_READINGS and rows.count() == 1500

@@ -1,0 +1,97 @@
+from datetime import date
+
+import pytest
+from cases import LAT, LON, NAN
+
+from seapoint import as_requests, request_extent, split_requests, wave_gate
+from seapoint.operators.latest import chlorophyll_latest
+from seapoint.schemas import OBSERVATIONS, REQUESTS
+
+DAY = date(2026, 8, 14)
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    return spark.createDataFrame(
+        [
+            (1, LAT, LON, DAY, 0, 23),
+            (2, LAT, LON, DAY, 10, 5),
+            (3, LAT, LON, DAY, -1, 5),
+            (4, LAT, LON, DAY, 0, 24),
+            (5, 100.0, LON, DAY, 0, 23),
+            (6, LAT, 500.0, DAY, 0, 23),
+            (7, NAN, LON, DAY, 0, 23),
+            (8, None, LON, DAY, 0, 23),
+            (9, LAT, LON, None, 0, 23),
+            (10, -90.0, 180.0, DAY, None, None),
+            (11, LAT, float("inf"), DAY, 3, 3),
+        ],
+        REQUESTS,
+    )
+
+
+def test_split(mixed):
+    valid, rejected = split_requests(mixed)
+    assert sorted(r.request_id for r in valid.collect()) == [1, 10]
+    assert {r.request_id: r.reason for r in rejected.collect()} == {
+        2: "hours",
+        3: "hours",
+        4: "hours",
+        5: "lat",
+        6: "lon",
+        7: "lat",
+        8: "lat",
+        9: "date",
+        11: "lon",
+    }
+
+
+def test_hours_default_to_the_whole_day(mixed):
+    hours = {r.request_id: (r.hour_start, r.hour_end) for r in as_requests(mixed).collect()}
+    assert hours[10] == (0, 23)
+    bare = as_requests(mixed.drop("hour_start", "hour_end"))
+    assert {(r.hour_start, r.hour_end) for r in bare.collect()} == {(0, 23)}
+
+
+@pytest.mark.parametrize(
+    "column, kind", [("date", "string"), ("lat", "boolean"), ("lon", "string"), ("lat", "string")]
+)
+def test_wrong_types_are_usage_errors(mixed, column, kind):
+    from pyspark.sql import functions as F
+
+    with pytest.raises(ValueError, match=column):
+        as_requests(mixed.withColumn(column, F.lit(None).cast(kind)))
+
+
+def nothing(spark):
+    return spark.createDataFrame([], OBSERVATIONS)
+
+
+def test_usage_errors_fail_the_job(spark, mixed):
+    with pytest.raises(Exception, match="unusable request 2: hours"):
+        wave_gate(mixed.where("request_id = 2"), nothing(spark)).collect()
+    with pytest.raises(Exception, match="unusable request 5: lat"):
+        chlorophyll_latest(mixed.where("request_id = 5"), nothing(spark)).collect()
+
+
+def test_excluded_requests_get_no_reading(spark, mixed):
+    waves = wave_gate(mixed, nothing(spark), on_invalid="exclude").collect()
+    # The wave rule checks hours and dates; a point off the map is a point without data.
+    assert sorted(r.request_id for r in waves) == [1, 5, 6, 7, 8, 10, 11]
+    assert {r.status for r in waves} == {"sin_datos"}
+    checked = wave_gate(mixed, nothing(spark), on_invalid="exclude", check_point=True).collect()
+    assert sorted(r.request_id for r in checked) == [1, 10]
+    latest = chlorophyll_latest(mixed, nothing(spark), on_invalid="exclude").collect()
+    # The chlorophyll rule has no hours.
+    assert sorted(r.request_id for r in latest) == [1, 2, 3, 4, 10]
+
+
+def test_unknown_mode(spark, mixed):
+    with pytest.raises(ValueError, match="on_invalid"):
+        wave_gate(mixed, nothing(spark), on_invalid="ignore")
+
+
+def test_extent(mixed):
+    extent = request_extent(mixed.where("request_id in (1, 10)"))
+    assert (extent["min_lat"], extent["max_lon"]) == (-90.0, 180.0)
+    assert extent["first_date"] == extent["last_date"] == DAY
