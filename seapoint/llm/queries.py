@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seapoint.llm.decontamination import benchmark_hits
 from seapoint.llm.html_text import extract_text
 from seapoint.llm.language_id import identify_languages
+from seapoint.llm.lm_scoring import score_documents
 from seapoint.llm.mixing import document_rates
 from seapoint.llm.pii import personal_data
 from seapoint.llm.shingle_join import link_documents
@@ -50,6 +51,7 @@ def queries() -> dict[str, Query]:
             _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
         ),
         "op6_language_id": lambda spark, sf_dir: identify_languages(_table(spark, sf_dir, "documents")),
+        "op7_lm_scoring": lambda spark, sf_dir: score_documents(_table(spark, sf_dir, "documents")),
         "op8_ngram_jaccard_join": lambda spark, sf_dir: link_documents(_table(spark, sf_dir, "documents")),
         "op9_pii": lambda spark, sf_dir: personal_data(_table(spark, sf_dir, "documents")),
         "op10_embedding_near_dedup": lambda spark, sf_dir: link_vectors(_table(spark, sf_dir, "embeddings")),
