@@ -82,6 +82,9 @@ class Model:
     def __init__(self, languages: list[str], landmarks: np.ndarray, weights: np.ndarray):
         self.languages, self.landmarks, self.weights = languages, landmarks, weights
 
+    def parts(self) -> tuple:
+        return self.languages, self.landmarks, self.weights
+
     @staticmethod
     def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
         sizes = np.sqrt(rows.sum(1, dtype=np.float64))[:, None] * np.sqrt(landmarks.sum(1, dtype=np.float64))[None, :]
@@ -153,10 +156,10 @@ def fit_language_model(
 def identify_languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row."""
     model = model or fit_language_model(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model and model.parts())
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = Model(*shared.value) if shared.value else None
         names = np.array(fitted.languages + [UNKNOWN], object) if fitted else np.array([UNKNOWN], object)
         for batch, texts in slices(batches, budget=512 << 10):
             for start in range(0, len(texts), 512):
@@ -192,14 +195,15 @@ def with_known_language(documents: DataFrame, least_score: float = LEAST_SCORE)
     model could be fitted, only texts without a letter go.
     """
     model = fit_language_model(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model and model.parts())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model(*shared.value) if shared.value else None
         for batch, texts in slices(batches, budget=512 << 10):
             for start in range(0, len(texts), 512):
                 rows, good = presence(texts[start : start + 512])
-                if shared.value is not None:
-                    good = good & (shared.value.score(rows)[1] >= least_score)
+                if fitted:
+                    good = good & (fitted.score(rows)[1] >= least_score)
                 yield batch.slice(start, 512).take(pa.array(np.flatnonzero(good)))
 
     return documents.mapInArrow(keep, documents.schema)

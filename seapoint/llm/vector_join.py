@@ -82,14 +82,18 @@ def _by_length(rows: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
 class _Cells:
     """Pivots by vector length, and the first cell number of each length."""
 
-    def __init__(self, rows: list[bytes], lengths: list[int], number):
-        self.number, self.pivots, self.first = number, {}, {}
-        cell = 0
+    def __init__(self, number, pivots: dict, first: dict):
+        self.number, self.pivots, self.first = number, pivots, first
+
+    @staticmethod
+    def parts(rows: list[bytes], lengths: list[int], number) -> tuple:
+        pivots, first, cell = {}, {}, 0
         for size in sorted(lengths):
             own = [r for r in rows if len(r) == size]
-            self.pivots[size] = _unit(own, number) if own else None
-            self.first[size] = cell
+            pivots[size] = _unit(own, number) if own else None
+            first[size] = cell
             cell += max(1, len(own))
+        return number, pivots, first
 
     def near(self, size: int, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Angles to all pivots, nearest cell, angle to it. A length without a pivot is one cell."""
@@ -153,15 +157,15 @@ def link_vectors(
     wanted = max(1, min(MAX_PIVOTS, -(-total // cell_rows)))
     sample = [bytes(r.vec) for r in classes.orderBy(F.xxhash64("vec"), "vec").limit(wanted).select("vec").collect()]
     lengths = [r.size for r in classes.select(F.length("vec").alias("size")).distinct().collect()]
-    cells = _Cells(sample, lengths, number)
-    share = spark.sparkContext.broadcast(cells)
+    share = spark.sparkContext.broadcast(_Cells.parts(sample, lengths, number))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Cells(*share.value)
         for batch in batches:
             vec = [bytes(v) for v in batch["vec"]]
             for size, at in _by_length(vec):
-                _, home, angle = share.value.near(size, [vec[i] for i in at])
-                yield pd.DataFrame({"cell": home + share.value.first[size], "angle": angle})
+                _, home, angle = known.near(size, [vec[i] for i in at])
+                yield pd.DataFrame({"cell": home + known.first[size], "angle": angle})
 
     measured = {
         r.cell: (r.radius, r.n)
@@ -174,7 +178,7 @@ def link_vectors(
     radii = spark.sparkContext.broadcast({k: (radius, -(-n // part_rows)) for k, (radius, n) in measured.items()})
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, sizes = share.value, radii.value
+        known, sizes = _Cells(*share.value), radii.value
         for batch in batches:
             all_vec = [bytes(v) for v in batch["vec"]]
             for size, at in _by_length(all_vec):
