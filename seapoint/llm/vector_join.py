@@ -211,17 +211,19 @@ def link_vectors(
                             yield sent[mine].assign(own=True)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = {"cls": pd.Series(dtype="Int64"), "links": pd.Series(dtype="Int64"), "a": pd.Series(dtype="Int64"), "b": pd.Series(dtype="Int64")}
         at, state = None, None
 
+        def frame(cls, links, a, b) -> pd.DataFrame:
+            return pd.DataFrame({k: pd.array(v, "Int64") for k, v in (("cls", cls), ("links", links), ("a", a), ("b", b))})
+
         def edges(found) -> pd.DataFrame:
-            pairs = {(a, b) for a, b in found if a != b}
-            return pd.DataFrame(empty | {"a": pd.array([a for a, _ in pairs], "Int64"), "b": pd.array([b for _, b in pairs], "Int64")})
+            pairs = sorted({(a, b) for a, b in found if a != b})
+            none = [None] * len(pairs)
+            return frame(none, none, [a for a, _ in pairs], [b for _, b in pairs])
 
         def closed() -> Iterator[pd.DataFrame]:
             if state is not None and state.cls:
-                cls, links, a, b = state.close()
-                yield pd.DataFrame({k: pd.array(v, "Int64") for k, v in (("cls", cls), ("links", links), ("a", a), ("b", b))})
+                yield frame(*state.close())
 
         for batch in batches:
             keys = list(zip(batch["cell"], batch["part"], strict=True))
