@@ -6,8 +6,8 @@ many bits as the sets do, so a similarity of at least ``PERCENT`` bounds their H
 - *Candidates.* With ``n`` shingles, at most ``n - ceil(0.75 n)`` positions of a set may be missing in a partner. By the pigeonhole
   principle two partners share one of their first ``n - ceil(0.75 n) + 1`` positions, in any order that is the same for
   all. The order puts positions that are frequent in a bounded sample last; what the sample holds changes the work, not the result.
-- *Screen.* Partners must lie in each other's size band, and a dense sketch of 256 bits gives a lower bound of the
-  symmetric difference by ``bit_count`` alone.
+- *Screen.* Partners must lie in each other's size band; what stands before their first common position is missing in the other, which
+  bounds what they can share; and a dense sketch of ``DENSE_BITS`` bits gives a lower bound of the symmetric difference by ``bit_count`` alone.
 - *Verify.* The exact similarity of the shingle sets of both whole texts.
 
 Groups are never unfolded into pairs. Equal sets are one class from the start. Then every class is verified against
@@ -39,7 +39,7 @@ PERCENT = 75
 SAMPLE_DOCUMENTS = 8000
 SAMPLE_COUNT = 6
 MAX_LATE = 1 << 17
-DENSE = ("s0", "s1", "s2", "s3")
+DENSE_BITS = 1024
 
 
 def lowered_words(text: bytes | None) -> list[bytes]:
@@ -80,12 +80,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(len(texts), np.uint64) for _ in range(2)]
         for total, values in zip(sums, (mixed(hashes), mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))), strict=True):
             np.add.at(total, owner, values)
-        dense = np.zeros((len(texts), 4), np.uint64)
-        place = hashes >> np.uint64(56)
-        np.bitwise_xor.at(dense, (owner, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+        width = DENSE_BITS // 64
+        dense = np.zeros(len(texts) * width, np.uint64)
+        place = hashes & np.uint64(DENSE_BITS - 1)
+        np.bitwise_xor.at(dense, owner * width + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n.astype(np.int64)), *[pa.array(signed(x)) for x in (*sums, *dense.T)]],
-            names=["doc_id", "n", "f1", "f2", *DENSE],
+            [
+                batch.column(0),
+                pa.array(n.astype(np.int64)),
+                *[pa.array(signed(x)) for x in sums],
+                pa.ListArray.from_arrays(offsets, pa.array(signed(dense))),
+            ],
+            names=["doc_id", "n", "f1", "f2", "dense"],
         )
 
 
@@ -96,6 +103,7 @@ def _positions(bits: int, late: np.ndarray | None, whole: bool):
         for batch, texts in slices(batches):
             owner, hashes = shingle_sets(texts)
             place = hashes >> np.uint64(64 - bits)
+            ordinal = np.zeros(len(owner), np.int64)
             if not whole:
                 n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
                 rank = mixed(place) >> np.uint64(1)
@@ -106,9 +114,12 @@ def _positions(bits: int, late: np.ndarray | None, whole: bool):
                 start = np.concatenate([[0], np.cumsum(n)])
                 ordinal = np.arange(len(owner)) - start[owner]
                 first = ordinal < prefix_length(n)[owner]
-                owner, place = owner[first], place[order][first]
+                owner, place, ordinal = owner[first], place[order][first], ordinal[first]
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(place)), pa.array(keys[owner], pa.int64())], names=["place", "doc"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(place)), pa.array(keys[owner], pa.int64()), pa.array(ordinal.astype(np.int32))],
+                names=["place", "doc", "ordinal"],
+            )
 
     return emit
 
@@ -148,12 +159,21 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return staged(both.select("a", "b", "pa", "pb").mapInArrow(_verify, "a long, b long"), "similar")
 
 
-def _within_bound(a: str, b: str) -> Column:
-    """Size band and Hamming bound of two described rows under the given names."""
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    differing = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in DENSE[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    # |A ^ B| = |A| + |B| - 2 common, and common >= p (|A| + |B|) / (100 + p).
-    return (100 * small >= PERCENT * large) & (differing * (100 + PERCENT) <= (100 - PERCENT) * (small + large))
+def _shareable(a: str, b: str) -> Column:
+    """Sizes within each other's band, and enough left from the common position on, of rows with ``n`` and ``ordinal``."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(n - F.col(f"{a}.ordinal"), m - F.col(f"{b}.ordinal"))
+    # common >= p (n + m) / (100 + p)
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (left * (100 + PERCENT) >= PERCENT * (n + m))
+
+
+def _screened(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``pairs`` with the greater id first, those whose dense sketches differ little enough."""
+    x, y = (facts.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("dense").alias(f"d{k}")) for k in "ab")
+    differing = F.aggregate(F.zip_with("da", "db", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    # |A ^ B| = n + m - 2 common
+    bound = differing * (100 + PERCENT) <= (100 - PERCENT) * (F.col("na") + F.col("nb"))
+    return pairs.join(x, "a").join(y, "b").filter(bound).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _late_positions(rows: DataFrame, total: int, bits: int) -> np.ndarray:
@@ -162,7 +182,7 @@ def _late_positions(rows: DataFrame, total: int, bits: int) -> np.ndarray:
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     common = (
         sample.select("doc_id", "text")
-        .mapInArrow(_positions(bits, None, True), "place long, doc long")
+        .mapInArrow(_positions(bits, None, True), "place long, doc long, ordinal int")
         .groupBy("place")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= SAMPLE_COUNT)
@@ -178,7 +198,7 @@ def link_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     rows = _rows(documents)
     described = staged(
-        rows.mapInArrow(_describe, "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in DENSE)), "sets"
+        rows.mapInArrow(_describe, "doc_id long, n long, f1 long, f2 long, dense array<long>"), "sets"
     )
     counted = described.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     # Positions enough that two different shingles hardly ever share one, so 14 bits beyond their number.
@@ -195,15 +215,15 @@ def link_documents(documents: DataFrame) -> DataFrame:
         usable.join(classes, ["n", "f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies"
     )
 
-    places = rows.filter("doc_id IS NOT NULL").mapInArrow(emit, "place long, doc long")
+    places = rows.filter("doc_id IS NOT NULL").mapInArrow(emit, "place long, doc long, ordinal int")
     met = staged(
         places.groupBy("place").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("place"), "places"
     )
     groups = staged(
         places.join(met, "place")
         .join(copies, "doc", "left")
-        .select("place", F.coalesce("rep", "doc").alias("doc"))
-        .distinct(),
+        .groupBy("place", F.coalesce("rep", "doc").alias("doc"))
+        .agg(F.first("ordinal").alias("ordinal")),
         "groups",
     )
     texts = staged(
@@ -213,19 +233,21 @@ def link_documents(documents: DataFrame) -> DataFrame:
         "packed",
     )
     facts = staged(
-        usable.select(F.col("doc_id").alias("doc"), "n", *DENSE).join(groups.select("doc").distinct(), "doc", "left_semi").distinct(), "facts"
+        usable.select(F.col("doc_id").alias("doc"), "n", "dense").join(groups.select("doc").distinct(), "doc", "left_semi").distinct(), "facts"
     )
+    groups = staged(groups.join(facts.select("doc", "n"), "doc"), "sized")
 
     edges = copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     component = staged(connected_components(edges), "components")
     tested = None
     for least in (True, False):
         open_groups = _open(groups, component)
-        pivots = staged(open_groups.groupBy("place").agg((F.min if least else F.max)(F.struct("doc", "component")).alias("pivot")), "pivots")
+        pivots = staged(open_groups.groupBy("place").agg((F.min if least else F.max)(F.struct("doc", "component", "n", "ordinal")).alias("pivot")), "pivots")
         # One pivot for each class: the one that it shares most positions with.
         stars = (
             open_groups.join(pivots, "place")
-            .filter(F.col("component") != F.col("pivot.component"))
+            .select("doc", "component", "pivot", F.struct("n", "ordinal").alias("own"))
+            .filter((F.col("component") != F.col("pivot.component")) & _shareable("own", "pivot"))
             .groupBy(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
             .agg(F.count("*").alias("n"))
             .groupBy("a")
@@ -240,16 +262,16 @@ def link_documents(documents: DataFrame) -> DataFrame:
     # What is left: classes that share a position but not a component.
     open_groups = _open(groups, component)
     pivots = staged(open_groups.groupBy("place").agg(F.min_by("component", "doc").alias("main")), "pivots")
-    rest = staged(open_groups.join(pivots, "place").join(facts, "doc"), "rest")
+    rest = staged(open_groups.join(pivots, "place"), "rest")
     x, y = rest.filter("component <> main").alias("x"), rest.alias("y")
     # Both apart from the group's main component: the pair is met twice, and taken once.
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))
     last = (
-        x.join(y, (F.col("x.place") == F.col("y.place")) & (F.col("x.component") != F.col("y.component")) & once & _within_bound("x", "y"))
+        x.join(y, (F.col("x.place") == F.col("y.place")) & (F.col("x.component") != F.col("y.component")) & once & _shareable("x", "y"))
         .select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"))
         .distinct()
     )
-    last = staged(last.join(tested, ["a", "b"], "left_anti"), "pairs")
+    last = staged(_screened(staged(last.join(tested, ["a", "b"], "left_anti"), "near"), facts), "pairs")
     edges = edges.unionByName(_similar(last, texts))
     component = staged(connected_components(edges), "components")
     return described.join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select(
@@ -257,22 +279,10 @@ def link_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def _screened(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """``pairs`` with the greater id first, those within the bounds."""
-    x, y = facts.alias("x"), facts.alias("y")
-    return (
-        pairs.join(x, F.col("a") == F.col("x.doc"))
-        .join(y, F.col("b") == F.col("y.doc"))
-        .filter(_within_bound("x", "y"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-
-
 def _open(groups: DataFrame, component: DataFrame) -> DataFrame:
-    """``place, doc, component`` of the groups that hold more than one component."""
+    """``place, doc, component, n, ordinal`` of the groups that hold more than one component."""
     named = groups.join(component.withColumnRenamed("vertex", "doc"), "doc", "left").select(
-        "place", "doc", F.coalesce("component", "doc").alias("component")
+        "place", "doc", "n", "ordinal", F.coalesce("component", "doc").alias("component")
     )
     named = staged(named, "named")
     open_places = staged(
