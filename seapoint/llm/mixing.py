@@ -118,19 +118,24 @@ def posterior(text: Column, model: dict) -> Column:
     )[0]
 
 
-def with_posterior(documents: DataFrame, labels: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str]]:
-    """``doc`` (the kept columns), ``n`` tokens and posterior ``p``, staged."""
-    model = fit_domains(documents, labels)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _described(documents: DataFrame, model: dict) -> tuple[Column, Column]:
+    """Tokens and unnormalised posterior of a row of ``documents``."""
+    text = F.coalesce(documents["text"].cast("string"), F.lit(""))
     tokens = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    raw = documents.select(F.struct(*[documents[c] for c in keep]).alias("doc"), tokens.cast("double").alias("n"), posterior(text, model).alias("q"))
+    return tokens.cast("double"), posterior(text, model)
+
+
+def with_posterior(documents: DataFrame, model: dict, doc: Column) -> DataFrame:
+    """``doc``, ``n`` tokens and posterior ``p`` of every row."""
+    tokens, raw = _described(documents, model)
+    rows = documents.select(doc.alias("doc"), tokens.alias("n"), raw.alias("q"))
     total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
-    return staged(raw.select("doc", "n", F.transform("q", lambda x: x / total).alias("p")), "posteriors"), model["domains"]
+    return rows.select("doc", "n", F.transform("q", lambda x: x / total).alias("p"))
 
 
 def _fold(history: list[tuple[np.ndarray, float]], k: int) -> Column:
     """(rate, ahead) of a row after the steps in ``history``: gradient of the sums, momentum."""
-    state = F.struct(F.col("rate"), F.col("ahead"))
+    state = F.struct(F.col("rate").alias("rate"), F.col("ahead").alias("ahead"))
     if not history:
         return state
     steps = F.from_json(
@@ -147,8 +152,13 @@ def _fold(history: list[tuple[np.ndarray, float]], k: int) -> Column:
     return F.aggregate(steps, state, step)
 
 
-def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], steps: int = STEPS) -> tuple[DataFrame, dict]:
-    """``rows(doc, n, p)`` with the fitted ``rate``, and what was met of the targets."""
+def fit_rates(
+    rows: DataFrame, domains: list[str], weights: dict[str, float], steps: int = STEPS
+) -> tuple[DataFrame, list[tuple[np.ndarray, float]]]:
+    """``rows(doc, n, p)`` with the fitted ``rate``, and the steps that lead to it from a rate of 1.
+
+    ``rows`` should be a written table without more columns than these.
+    """
     k = len(domains)
     n, p = F.col("n"), F.col("p")
     first = rows.agg(
@@ -156,7 +166,7 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], st
     ).first()
     total = float(first["n"] or 0.0)
     if not total:
-        return rows.withColumn("rate", F.lit(1.0)), {"expected": {}, "target": {}}
+        return rows.withColumn("rate", F.lit(1.0)), []
     gram = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
@@ -166,7 +176,8 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], st
     target = np.array([weights.get(d, 0.0) / scale for d in domains])
     state = rows.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
     history: list[tuple[np.ndarray, float]] = []
-    speed, met = 1.0, target
+    taken: list[tuple[np.ndarray, float]] = []
+    speed = 1.0
     for _ in range(steps):
         ahead = _fold(history, k)
         now = state.select("n", "p", ahead.alias("s")).agg(
@@ -179,6 +190,7 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], st
         short = np.array([float(now[f"a{i}"]) for i in range(k)]) / total - target
         faster = (1.0 + math.sqrt(1.0 + 4.0 * speed * speed)) / 2.0
         history.append((pace * short, (speed - 1.0) / faster))
+        taken.append(history[-1])
         speed = faster
         if len(history) == FOLD:
             state = staged(
@@ -186,24 +198,33 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], st
             )
             history = []
     fitted = state.withColumn("s", _fold(history, k)).select("doc", "n", "p", F.col("s.rate").alias("rate"))
-    return fitted, {"expected": dict(zip(domains, met)), "target": dict(zip(domains, target))}
+    return fitted, taken
 
 
 def document_rates(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``doc_id, n_tokens, p_<domain>, rate`` of every row."""
-    rows, domains = with_posterior(documents, labels, ["doc_id"])
-    fitted, _ = fit_rates(rows, domains, weights or WEIGHTS)
+    model = fit_domains(documents, labels)
+    rows = staged(with_posterior(documents, model, documents["doc_id"]), "posteriors")
+    fitted, _ = fit_rates(rows, model["domains"], weights or WEIGHTS)
     return fitted.select(
-        "doc.doc_id",
+        F.col("doc").alias("doc_id"),
         F.col("n").cast("long").alias("n_tokens"),
-        *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)],
+        *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model["domains"])],
         "rate",
     )
 
 
 def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """``documents`` with their ``sampling_rate``; rows whose rate is 0 have no place in the mix and go."""
-    rows, domains = with_posterior(documents, labels, documents.columns)
-    fitted, _ = fit_rates(rows, domains, weights or WEIGHTS)
+    """``documents`` with their ``sampling_rate``; rows whose rate is 0 have no place in the mix and go.
+
+    The steps are fitted on numbers alone; the rows themselves are read once more at the end and follow the steps.
+    """
+    model = fit_domains(documents, labels)
+    numbers = staged(with_posterior(documents, model, F.lit(0)), "posteriors")
+    _, steps = fit_rates(numbers, model["domains"], weights or WEIGHTS)
+    rows = with_posterior(documents, model, F.struct(*[documents[c] for c in documents.columns]))
+    # Inlined once each, so that the optimiser copies neither the posterior nor the steps into their uses.
+    rows = rows.select("doc", F.inline(F.array(F.struct("n", "p")))).withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
+    rows = rows.select("doc", F.inline(F.array(_fold(steps, len(model["domains"])))))
     out = [F.col("doc").getField(c).alias(c) for c in documents.columns if c != "sampling_rate"]
-    return fitted.filter("rate > 0").select(*out, F.col("rate").alias("sampling_rate"))
+    return rows.filter("rate > 0").select(*out, F.col("rate").alias("sampling_rate"))

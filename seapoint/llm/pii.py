@@ -108,16 +108,15 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0))
 
 
-def _scanned(documents: DataFrame, whole: bool) -> DataFrame:
-    """Rows with ``row``, ``doc``, ``text`` and the base spans; the text only where it is needed again."""
-    kept = F.struct(*[documents[c] for c in documents.columns]) if whole else F.struct("doc_id")
-    rows = documents.select(kept.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc", "text", *[_base(F.col("text"), k).alias(k) for k in KINDS])
+def _scanned(documents: DataFrame, doc: Column) -> DataFrame:
+    """Rows with ``doc``, ``text``, the base spans, and ``row``, which stands for id and text."""
+    text = F.coalesce(documents["text"].cast("string"), F.lit(""))
+    rows = documents.select(doc.alias("doc"), F.xxhash64(documents["doc_id"], text).alias("row"), text.alias("text"))
+    rows = rows.select("*", *[_base(F.col("text"), k).alias(k) for k in KINDS])
     some = F.size(KINDS[0]) > 0
     for kind in KINDS[1:]:
         some = some | (F.size(kind) > 0)
-    rows = rows.withColumn("some", some).withColumn("row", F.monotonically_increasing_id())
-    return staged(rows if whole else rows.withColumn("text", F.when(F.col("some"), F.col("text"))), "personal")
+    return rows.withColumn("some", some)
 
 
 def _entities(scanned: DataFrame) -> DataFrame:
@@ -162,10 +161,15 @@ def disclosing_terms(
     )
 
 
-def _with_terms(documents: DataFrame, whole: bool, support: int, disclosure: float) -> DataFrame:
-    """Scanned rows with the spans of disclosing terms in ``term``."""
-    scanned = _scanned(documents, whole)
-    entities = staged(_entities(scanned), "entities")
+def _found(documents: DataFrame) -> DataFrame:
+    """The scanned rows as a written table, with the text only where it is needed again."""
+    rows = _scanned(documents, F.struct(documents["doc_id"]))
+    return staged(rows.withColumn("text", F.when(F.col("some"), F.col("text"))), "personal")
+
+
+def _with_terms(documents: DataFrame, found: DataFrame, rows: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """``rows`` with the spans of disclosing terms in ``term``; ``found`` holds what the terms follow from."""
+    entities = staged(_entities(found), "entities")
     flagged = staged(disclosing_terms(documents, entities, support, disclosure), "disclosing")
     terms = (
         entities.select("row", "entity")
@@ -174,7 +178,7 @@ def _with_terms(documents: DataFrame, whole: bool, support: int, disclosure: flo
         .groupBy("row")
         .agg(F.sort_array(F.collect_set("term")).alias("terms"))
     )
-    rows = scanned.join(terms, "row", "left")
+    rows = rows.join(staged(terms, "terms"), "row", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     base = F.concat(*[F.col(k) for k in KINDS])
     spans = F.filter(
@@ -193,7 +197,8 @@ def _listed(kinds: tuple[str, ...]) -> Column:
 
 def personal_data(documents: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``doc_id``, the counts, ``base_sha256``, ``spans`` and ``n_term`` of every row."""
-    rows = _with_terms(documents, False, support, disclosure)
+    found = _found(documents)
+    rows = _with_terms(documents, found, found, support, disclosure)
     return rows.select(
         "doc.doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
@@ -208,7 +213,8 @@ def sanitised(documents: DataFrame, support: int = SUPPORT, disclosure: float =
 
     ``n_chars``, where there is one, is set to the new length. A null text stays null.
     """
-    rows = _with_terms(documents, True, support, disclosure)
+    whole = _scanned(documents, F.struct(*[documents[c] for c in documents.columns]))
+    rows = _with_terms(documents, _found(documents), whole, support, disclosure)
     def labelled(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(LABELS[kind]).alias("label")))
 
