@@ -42,6 +42,8 @@ _HINT = re.compile(
     r"sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|"
     r"related|recommend(?:ed|ations)?|comments?|respond|replies|reply|disqus|widget|pagination|pager|contentinfo|skip-?link|alert|legal|copyright|toolbar)(?=$|[\s_-])"
 )
+# Those that make even an article no part of the main one.
+_FOREIGN = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respond|ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|related|recommend(?:ed|ations)?)(?=$|[\s_-])")
 _HINT_ATTRIBUTES = re.compile(r"""(?i)(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?=\s|/|$|=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
 _TOKEN = re.compile(
@@ -52,12 +54,12 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("s
 _SPACE = re.compile(r"\s+")
 
 
-def _is_furniture(attributes: str) -> bool:
+def _is_furniture(attributes: str, hints: re.Pattern) -> bool:
     if not attributes:
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(_HINT.search((a or b or c).lower()) for a, b, c in _HINT_ATTRIBUTES.findall(attributes))
+    return any(hints.search((a or b or c).lower()) for a, b, c in _HINT_ATTRIBUTES.findall(attributes))
 
 
 def _lines(page: str) -> tuple[list[tuple[str, int, bool, int]], int]:
@@ -142,7 +144,7 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool, int]], int]:
         attributes = token[3] or ""
         inside = max(article, _ARTICLE.get(name, 0))
         is_header_of_article = name == "header" and article
-        furniture = furniture or (name in _FURNITURE and not is_header_of_article) or (name not in ("html", "body", "article", "main") and _is_furniture(attributes))
+        furniture = furniture or (name in _FURNITURE and not is_header_of_article) or (name not in ("html", "body") and _is_furniture(attributes, _FOREIGN if name in _ARTICLE else _HINT))
         if not furniture:
             marked = max(marked, inside)
         stack.append((name, furniture, inside, link or name == "a"))

@@ -15,7 +15,8 @@ Everything is DataFrame functions.
 
 Defined cases: a null or empty text has no tokens, the classifier's prior and the rate that the
 steps give that; labels without a document or with nulls are not learned from; contradicting labels count for each
-domain; no usable label gives the single domain ``all``; targets of domains that don't occur cannot be met and are
+domain; no usable label gives the single domain ``all``, and
+without a weighted domain all rates are 1; targets of domains that don't occur cannot be met and are
 missed by the least squares; repeated rows have a rate each; other columns are kept by ``mixed``.
 """
 
@@ -165,7 +166,7 @@ def fit_rates(
         F.sum("n").alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
     ).first()
     total = float(first["n"] or 0.0)
-    if not total:
+    if not total or not any(weights.get(d) for d in domains):
         return rows.withColumn("rate", F.lit(1.0)), []
     gram = np.zeros((k, k))
     for i in range(k):

@@ -203,7 +203,7 @@ def link_documents(documents: DataFrame) -> DataFrame:
     counted = described.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     # Positions enough that two different shingles hardly ever share one, so 14 bits beyond their number.
     bits = min(63, max(32, int(counted.n or 1).bit_length() + 14))
-    late = rows.sparkSession.sparkContext.broadcast(_late_positions(rows, counted.rows, bits))
+    late = rows.sparkSession.sparkContext.broadcast(_late_positions(rows.filter("doc_id IS NOT NULL"), counted.rows, bits))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _positions(bits, late.value, False)(batches)
