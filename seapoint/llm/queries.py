@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seapoint.llm import oracle
 from seapoint.llm.decontamination import benchmark_hits
 from seapoint.llm.html_text import extract_text
 from seapoint.llm.language_id import identify_languages
@@ -59,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
