@@ -253,15 +253,20 @@ FROM all_rows GROUP BY ALL""",
         REQUESTS,
         """
 flawed AS (
-  SELECT request_id, CASE WHEN request_id % 50 = 1 THEN CAST(100 AS DOUBLE) ELSE lat END AS lat, lon,
-    CASE WHEN request_id % 50 = 0 THEN 10 ELSE hour_start END AS hour_start,
+  SELECT request_id, CASE request_id % 50 WHEN 1 THEN CAST(100 AS DOUBLE) WHEN 2 THEN CAST('NaN' AS DOUBLE) ELSE lat END AS lat,
+    CASE WHEN request_id % 50 = 3 THEN CAST(500 AS DOUBLE) ELSE lon END AS lon,
+    CASE WHEN request_id % 50 <> 4 THEN date END AS date,
+    CASE request_id % 50 WHEN 0 THEN CAST(10 AS DOUBLE) WHEN 5 THEN CAST(-0.9 AS DOUBLE) ELSE hour_start END AS hour_start,
     CASE WHEN request_id % 50 = 0 THEN 5 ELSE hour_end END AS hour_end
   FROM requests)""",
     )
     + """
-SELECT request_id, hour_start <= hour_end AND lat BETWEEN -90 AND 90 AS is_valid,
-  CASE WHEN hour_start > hour_end THEN 'hours' WHEN NOT lat BETWEEN -90 AND 90 THEN 'lat' END AS reason
-FROM flawed""",
+SELECT request_id, reason IS NULL AS is_valid, reason
+FROM (SELECT request_id, CASE WHEN date IS NULL THEN 'date'
+    WHEN NOT (hour_start >= 0 AND hour_start <= hour_end AND hour_end <= 23 AND hour_start = floor(hour_start)) THEN 'hours'
+    WHEN isnan(lat) OR NOT lat BETWEEN -90 AND 90 THEN 'lat'
+    WHEN isnan(lon) OR NOT lon BETWEEN -180 AND 180 THEN 'lon' END AS reason
+  FROM flawed)""",
     "local_window_utc": _with(REQUESTS, WINDOWS)
     + """
 SELECT request_id, w0 AS window_start_utc, w1 AS window_end_utc,
@@ -294,10 +299,11 @@ SELECT request_id, cell_lat, cell_lon, round(any_value(km), 6) AS distance_km,
 FROM pairs WHERE value IS NOT NULL AND km <= 6.5 GROUP BY 1, 2, 3""",
     "conservative_cell": _with(*_WAVE)
     + """
-SELECT request_id, cell_lat, cell_lon, round(km, 6) AS distance_km, max_value,
+SELECT request_id, cell_lat, cell_lon, round(km, 6) AS distance_km, max_value, max_time_utc,
   CAST(row_number() OVER (PARTITION BY request_id
     ORDER BY max_value DESC, km, cell_lat, cell_lon) AS INT) AS cell_rank
-FROM (SELECT request_id, cell_lat, cell_lon, any_value(km) AS km, max(value) AS max_value
+FROM (SELECT request_id, cell_lat, cell_lon, any_value(km) AS km, max(value) AS max_value,
+        arg_min(time_utc, struct_pack(v := -value, t := time_utc)) AS max_time_utc
       FROM pairs WHERE value IS NOT NULL AND km <= 6.5 GROUP BY 1, 2, 3)""",
     "wave_measurement": _with(*_WAVE_TOP)
     + """

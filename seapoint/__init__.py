@@ -19,7 +19,6 @@ from seapoint.sources.observations import (
 )
 from seapoint.sources.products import (
     CHLOROPHYLL,
-    NOT_AN_AUTHORIZATION_NOTICE,
     SALINITY,
     TEMPERATURE,
     WAVES,
@@ -31,7 +30,6 @@ from seapoint.sources.requests import as_requests, request_extent, split_request
 
 __all__ = [
     "CHLOROPHYLL",
-    "NOT_AN_AUTHORIZATION_NOTICE",
     "SALINITY",
     "TEMPERATURE",
     "WAVES",

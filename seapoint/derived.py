@@ -50,12 +50,16 @@ def requests_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flawed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same requests, some with hours out of order and some with an impossible latitude."""
+    """The same requests, some unusable for each of the reasons there are."""
     mark = F.col("request_id") % 50
     return requests_from_orders(spark, sf_dir).withColumns(
         {
-            "lat": F.when(mark == 1, 100.0).otherwise(F.col("lat")),
-            "hour_start": F.when(mark == 0, 10).otherwise(F.col("hour_start")),
+            "lat": F.when(mark == 1, 100.0).when(mark == 2, float("nan")).otherwise(F.col("lat")),
+            "lon": F.when(mark == 3, 500.0).otherwise(F.col("lon")),
+            "date": F.when(mark != 4, F.col("date")),
+            "hour_start": F.when(mark == 0, 10.0)
+            .when(mark == 5, -0.9)
+            .otherwise(F.col("hour_start").cast("double")),
             "hour_end": F.when(mark == 0, 5).otherwise(F.col("hour_end")),
         }
     )

@@ -205,9 +205,10 @@ def temperature_series(
     observations: DataFrame,
     product: Product = TEMPERATURE,
     on_invalid: str = "raise",
+    check_point: bool = False,
 ) -> DataFrame:
     """Temperature reading per request, for its local hour range."""
-    return surface_series(requests, observations, product, on_invalid)
+    return surface_series(requests, observations, product, on_invalid, check_point)
 
 
 def sst_full_day(
@@ -215,9 +216,10 @@ def sst_full_day(
     observations: DataFrame,
     product: Product = TEMPERATURE,
     on_invalid: str = "raise",
+    check_point: bool = False,
 ) -> DataFrame:
     """Surface temperature per request; requests without hours cover their whole local day."""
-    return temperature_series(requests, observations, product, on_invalid)
+    return temperature_series(requests, observations, product, on_invalid, check_point)
 
 
 def salinity_series(
@@ -225,6 +227,7 @@ def salinity_series(
     observations: DataFrame,
     product: Product = SALINITY,
     on_invalid: str = "raise",
+    check_point: bool = False,
 ) -> DataFrame:
     """Salinity reading per request, in the native unit, for its local hour range."""
-    return surface_series(requests, observations, product, on_invalid)
+    return surface_series(requests, observations, product, on_invalid, check_point)

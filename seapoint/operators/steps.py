@@ -106,7 +106,8 @@ def rows_by_product(observations: DataFrame) -> DataFrame:
         F.count(F.nanvl("value", F.lit(None).cast("double"))).alias("n_valid"),
     )
     # One row per product: the dimension cannot grow with the data.
-    return counts.join(F.broadcast(known), ["dataset_id", "variable"])
+    # Rows of other products are counted too, without provenance.
+    return counts.join(F.broadcast(known), ["dataset_id", "variable"], "left")
 
 
 # ---- matching and cells ------------------------------------------------------------------
@@ -174,18 +175,16 @@ def cell_distances(requests: DataFrame, observations: DataFrame, product: Produc
 # ---- conservative maximum ----------------------------------------------------------------
 
 
-def cell_maxima(requests: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
-    """Per request and admissible cell: the highest valid value and its first instant."""
-    requests = as_requests(requests)
-    asked = hour_questions(requests, product)
+def _question_maxima(asked: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
+    """Per question and admissible cell: the highest valid value and its first instant."""
     maxima = first_by(
         admissible_heights(asked, observations, product),
         (*POINT_AND_HOURS, *_CELL),
         [(-F.col("value")).alias("minus_value"), F.col("time_utc"), F.col("distance_km")],
         "top",
     )
-    return per_request(requests, asked, maxima, POINT_AND_HOURS, "inner").select(
-        "request_id",
+    return maxima.select(
+        *POINT_AND_HOURS,
         *_CELL,
         "top.distance_km",
         (-F.col("top.minus_value")).alias("max_value"),
@@ -193,13 +192,32 @@ def cell_maxima(requests: DataFrame, observations: DataFrame, product: Product)
     )
 
 
+def cell_maxima(requests: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
+    """Per request and admissible cell: the highest valid value and its first instant."""
+    requests = as_requests(requests)
+    asked = hour_questions(requests, product)
+    maxima = _question_maxima(asked, observations, product)
+    return per_request(requests, asked, maxima, POINT_AND_HOURS, "inner").select(
+        "request_id", *_CELL, "distance_km", "max_value", "max_time_utc"
+    )
+
+
 def ranked_maxima(requests: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
-    """The admissible cells of each request, ranked as the conservative rule ranks them."""
-    maxima = cell_maxima(requests, observations, product)
-    order = Window.partitionBy("request_id").orderBy(
+    """The admissible cells of each request, ranked as the conservative rule ranks them.
+
+    The ranking is the question's, so it is worked out before it is handed to the requests.
+    """
+    requests = as_requests(requests)
+    asked = hour_questions(requests, product)
+    order = Window.partitionBy(*POINT_AND_HOURS).orderBy(
         F.col("max_value").desc(), "distance_km", *_CELL
     )
-    return maxima.withColumn("cell_rank", F.row_number().over(order))
+    ranked = _question_maxima(asked, observations, product).withColumn(
+        "cell_rank", F.row_number().over(order)
+    )
+    return per_request(requests, asked, ranked, POINT_AND_HOURS, "inner").select(
+        "request_id", *_CELL, "distance_km", "max_value", "max_time_utc", "cell_rank"
+    )
 
 
 # ---- coverage, then nearby time ----------------------------------------------------------

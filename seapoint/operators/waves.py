@@ -87,7 +87,7 @@ def wave_gate(
 ) -> DataFrame:
     """One wave reading per request, with status and kill switch.
 
-    A switch that is off authorises nothing; see ``NOT_AN_AUTHORIZATION_NOTICE``.
+    A switch that is off authorises nothing: the limits are provisional and the waves regional.
     """
     usable = checked_requests(requests, hours=True, point=check_point, on_invalid=on_invalid)
     readings = _highest(usable, observations, product).select(

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from seapoint.schemas import REQUESTS
 
 FIRST_HOUR, LAST_HOUR = 0, 23
+NO_HOUR = -1
 
 POINT_AND_DAY = ("lat", "lon", "date")
 POINT_AND_HOURS = ("lat", "lon", "date", "hour_start", "hour_end")
@@ -15,6 +16,8 @@ POINT_AND_HOURS = ("lat", "lon", "date", "hour_start", "hour_end")
 def as_requests(rows: DataFrame) -> DataFrame:
     """Bring a table to the request layout; absent or NULL hours mean the whole local day.
 
+    Hours that are not whole are kept as ``NO_HOUR``, so that they are rejected and not cut off.
+
     Latitude and longitude must be numeric and the date a DATE. A text or boolean column there
     is a usage error of the whole table, so it raises at once.
     """
@@ -26,8 +29,16 @@ def as_requests(rows: DataFrame) -> DataFrame:
         raise ValueError(f"date must be a DATE, not {types['date'].simpleString()}")
 
     def hour(name: str, default: int) -> Column:
-        given = F.col(name) if name in types else F.lit(None)
-        return F.coalesce(given.cast("int"), F.lit(default)).alias(name)
+        if name not in types:
+            return F.lit(default).alias(name)
+        if isinstance(types[name], (T.ByteType, T.ShortType, T.IntegerType)):
+            return F.coalesce(F.col(name).cast("int"), F.lit(default)).alias(name)
+        # What is no whole hour, or beyond an INT, becomes an hour that the check turns away.
+        given = F.col(name).try_cast("double")
+        whole = F.coalesce((given == F.floor(given)) & given.between(-(2.0**31), 2.0**31 - 1), F.lit(False))
+        return (
+            F.when(F.col(name).isNull(), F.lit(default)).when(whole, given.cast("int")).otherwise(F.lit(NO_HOUR)).alias(name)
+        )
 
     return rows.select(
         F.col("request_id").cast("bigint").alias("request_id"),

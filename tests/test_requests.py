@@ -95,3 +95,16 @@ def test_extent(mixed):
     extent = request_extent(mixed.where("request_id in (1, 10)"))
     assert (extent["min_lat"], extent["max_lon"]) == (-90.0, 180.0)
     assert extent["first_date"] == extent["last_date"] == DAY
+
+
+def test_hours_that_are_no_whole_hours_are_rejected(spark):
+    from seapoint.sources.requests import split_requests
+
+    rows = [(1, -0.9, 5.0), (2, 5.9, 9.9), (3, 0.0, 23.7), (4, 1e12, 5.0), (5, float("nan"), 5.0), (6, 0.0, 23.0), (7, None, None)]
+    table = spark.createDataFrame(rows, "request_id long, hour_start double, hour_end double").selectExpr(
+        "*", "-12.0D AS lat", "-77.0D AS lon", "DATE'2024-01-01' AS date"
+    )
+    usable, rejected = split_requests(table)
+    assert sorted(r.request_id for r in usable.collect()) == [6, 7]
+    assert {r.reason for r in rejected.collect()} == {"hours"}
+

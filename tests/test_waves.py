@@ -122,3 +122,23 @@ def test_kill_switch_fails_safe(spark):
     )
     blocked = [r.b for r in rows.select(kill_switch(F.col("status")).alias("b")).collect()]
     assert blocked == [True, False, True, True, True]
+
+
+def test_rank_is_the_questions_and_unknown_products_are_counted(spark):
+    """Two requests under one id rank their cells apart; rows of a product nobody knows keep their count."""
+    from seapoint.operators.steps import ranked_maxima, rows_by_product
+    from seapoint.sources.products import WAVES
+
+    seen = spark.sql(
+        f"""SELECT '{WAVES.dataset_id}' AS dataset_id, 'VHM0' AS variable, t AS time_utc, CAST(NULL AS DOUBLE) AS depth_m,
+        -12.5D AS cell_lat, -76.75D AS cell_lon, v AS value
+        FROM VALUES (TIMESTAMP_NTZ'2026-08-14 12:00:00', 1.0D), (TIMESTAMP_NTZ'2026-08-15 12:00:00', 2.0D) AS x(t, v)"""
+    )
+    asked = spark.sql(
+        """SELECT 1L AS request_id, -12.471D AS lat, -76.79D AS lon, d AS date, 0 AS hour_start, 12 AS hour_end
+        FROM VALUES (DATE'2026-08-14'), (DATE'2026-08-15') AS x(d)"""
+    )
+    assert [r.cell_rank for r in ranked_maxima(asked, seen, WAVES).collect()] == [1, 1]
+    other = seen.selectExpr("'unknown' AS dataset_id", "'X' AS variable", "time_utc", "depth_m", "cell_lat", "cell_lon", "value")
+    counts = {r.dataset_id: (r.n_rows, r.units) for r in rows_by_product(seen.unionByName(other)).collect()}
+    assert counts["unknown"] == (2, None) and counts[WAVES.dataset_id][0] == 2
