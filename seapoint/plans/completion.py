@@ -10,7 +10,7 @@ def first_by(rows: DataFrame, keys: tuple[str, ...], order: list[Column], name:
     """The first row per group in the order of the given columns, as a struct.
 
     A minimum over a struct compares field by field and combines before the shuffle, so no group
-    is ever sorted or held as a whole. NULL sorts first: filter what must not win.
+    is held as a whole. Spark may plan it as a sort aggregate, which sorts the rows by key and spills. NULL sorts first: filter what must not win.
     """
     return rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias(name))
 
