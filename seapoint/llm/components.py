@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seapoint.llm.staging import staged
+from seapoint.llm.staging import scratch, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,7 +24,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-    return staged(out.filter("a <> b").distinct(), "stars")
+    return out.filter("a <> b").distinct() if not large else staged(out.filter("a <> b").distinct(), "stars")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not state.n or (state.n, state.h) == mark:
             break
         mark = (state.n, state.h)
-        edges = _stars(_stars(edges, large=True), large=False)
+        with scratch(edges.sparkSession) as kept:
+            edges = kept(_stars(_stars(edges, large=True), large=False), "edges")
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seapoint.llm.staging import staged
+from seapoint.llm.staging import scratch, staged
 from seapoint.llm.words import Words, signed, slices
 
 SPAN = 10
@@ -215,10 +215,7 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> D
 
     A row with a null ``doc_id`` stays: nothing tells which one it is.
     """
-    dirty = (
-        benchmark_hits(documents, benchmark, **how)
-        .filter("n_hit > 0")
-        .select(F.col("doc_id").alias("dirty_doc_id"))
-        .distinct()
-    )
+    with scratch(documents.sparkSession) as kept:
+        hits = benchmark_hits(documents, benchmark, **how).filter("n_hit > 0")
+        dirty = kept(hits.select(F.col("doc_id").alias("dirty_doc_id")).distinct(), "dirty")
     return documents.join(dirty, documents["doc_id"] == dirty["dirty_doc_id"], "left_anti")

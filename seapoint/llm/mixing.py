@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seapoint.llm.staging import staged
+from seapoint.llm.staging import scratch, staged
 
 WEIGHTS = {"high": 0.8, "low": 0.2, "toxic": 0.0}
 SAMPLE_PER_DOMAIN = 3000
@@ -153,10 +153,17 @@ def _fold(history: list[tuple[np.ndarray, float]], k: int) -> Column:
     return F.aggregate(steps, state, step)
 
 
+def _rated(rows: DataFrame, steps: list[tuple[np.ndarray, float]], k: int, *keep: str) -> DataFrame:
+    """``keep`` and the ``rate`` to which the steps lead from 1, of rows with ``p``."""
+    rows = rows.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
+    # Inlined, so that the optimiser does not copy the steps into every use.
+    return rows.select(*keep, F.inline(F.array(_fold(steps, k)))).drop("ahead")
+
+
 def fit_rates(
     rows: DataFrame, domains: list[str], weights: dict[str, float], steps: int = STEPS
-) -> tuple[DataFrame, list[tuple[np.ndarray, float]]]:
-    """``rows(doc, n, p)`` with the fitted ``rate``, and the steps that lead to it from a rate of 1.
+) -> list[tuple[np.ndarray, float]]:
+    """The steps that lead every row of ``rows(doc, n, p)`` from a rate of 1 to the fitted one.
 
     ``rows`` should be a written table without more columns than these.
     """
@@ -167,7 +174,7 @@ def fit_rates(
     ).first()
     total = float(first["n"] or 0.0)
     if not total or not any(weights.get(d) for d in domains):
-        return rows.withColumn("rate", F.lit(1.0)), []
+        return []
     gram = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
@@ -198,16 +205,16 @@ def fit_rates(
                 state.withColumn("s", _fold(history, k)).select("doc", "n", "p", "s.rate", "s.ahead"), "rates"
             )
             history = []
-    fitted = state.withColumn("s", _fold(history, k)).select("doc", "n", "p", F.col("s.rate").alias("rate"))
-    return fitted, taken
+    return taken
 
 
 def document_rates(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``doc_id, n_tokens, p_<domain>, rate`` of every row."""
-    model = fit_domains(documents, labels)
-    rows = staged(with_posterior(documents, model, documents["doc_id"]), "posteriors")
-    fitted, _ = fit_rates(rows, model["domains"], weights or WEIGHTS)
-    return fitted.select(
+    with scratch(documents.sparkSession) as kept:
+        model = fit_domains(documents, labels)
+        rows = kept(with_posterior(documents, model, documents["doc_id"]), "posteriors")
+        steps = fit_rates(rows, model["domains"], weights or WEIGHTS)
+    return _rated(rows, steps, len(model["domains"]), "doc", "n", "p").select(
         F.col("doc").alias("doc_id"),
         F.col("n").cast("long").alias("n_tokens"),
         *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model["domains"])],
@@ -220,12 +227,12 @@ def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | N
 
     The steps are fitted on numbers alone; the rows themselves are read once more at the end and follow the steps.
     """
-    model = fit_domains(documents, labels)
-    numbers = staged(with_posterior(documents, model, F.lit(0)), "posteriors")
-    _, steps = fit_rates(numbers, model["domains"], weights or WEIGHTS)
+    with scratch(documents.sparkSession):
+        model = fit_domains(documents, labels)
+        numbers = staged(with_posterior(documents, model, F.lit(0)), "posteriors")
+        steps = fit_rates(numbers, model["domains"], weights or WEIGHTS)
     rows = with_posterior(documents, model, F.struct(*[documents[c] for c in documents.columns]))
-    # Inlined once each, so that the optimiser copies neither the posterior nor the steps into their uses.
-    rows = rows.select("doc", F.inline(F.array(F.struct("n", "p")))).withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
-    rows = rows.select("doc", F.inline(F.array(_fold(steps, len(model["domains"])))))
+    # Inlined as the steps are, for the posterior.
+    rows = _rated(rows.select("doc", F.inline(F.array(F.struct("n", "p")))), steps, len(model["domains"]), "doc")
     out = [F.col("doc").getField(c).alias(c) for c in documents.columns if c != "sampling_rate"]
     return rows.filter("rate > 0").select(*out, F.col("rate").alias("sampling_rate"))

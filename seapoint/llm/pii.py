@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seapoint.llm.staging import staged
+from seapoint.llm.staging import scratch, staged
 
 CONTEXT = 3
 MIN_LETTERS = 3
@@ -167,18 +167,22 @@ def _found(documents: DataFrame) -> DataFrame:
     return staged(rows.withColumn("text", F.when(F.col("some"), F.col("text"))), "personal")
 
 
-def _with_terms(documents: DataFrame, found: DataFrame, rows: DataFrame, support: int, disclosure: float) -> DataFrame:
-    """``rows`` with the spans of disclosing terms in ``term``; ``found`` holds what the terms follow from."""
+def _terms_of_rows(documents: DataFrame, found: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """``row, terms``: the terms that disclose an entity of the row; ``found`` holds what they follow from."""
     entities = staged(_entities(found), "entities")
     flagged = staged(disclosing_terms(documents, entities, support, disclosure), "disclosing")
-    terms = (
+    return (
         entities.select("row", "entity")
         .distinct()
         .join(flagged, "entity")
         .groupBy("row")
         .agg(F.sort_array(F.collect_set("term")).alias("terms"))
     )
-    rows = rows.join(staged(terms, "terms"), "row", "left")
+
+
+def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with the spans of their disclosing terms in ``term``."""
+    rows = rows.join(terms, "row", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     base = F.concat(*[F.col(k) for k in KINDS])
     spans = F.filter(
@@ -198,7 +202,9 @@ def _listed(kinds: tuple[str, ...]) -> Column:
 def personal_data(documents: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``doc_id``, the counts, ``base_sha256``, ``spans`` and ``n_term`` of every row."""
     found = _found(documents)
-    rows = _with_terms(documents, found, found, support, disclosure)
+    with scratch(documents.sparkSession) as kept:
+        terms = kept(_terms_of_rows(documents, found, support, disclosure), "terms")
+    rows = _with_terms(found, terms)
     return rows.select(
         "doc.doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
@@ -214,7 +220,10 @@ def sanitised(documents: DataFrame, support: int = SUPPORT, disclosure: float =
     ``n_chars``, where there is one, is set to the new length. A null text stays null.
     """
     whole = _scanned(documents, F.struct(*[documents[c] for c in documents.columns]))
-    rows = _with_terms(documents, _found(documents), whole, support, disclosure)
+    with scratch(documents.sparkSession) as kept:
+        terms = kept(_terms_of_rows(documents, _found(documents), support, disclosure), "terms")
+    rows = _with_terms(whole, terms)
+
     def labelled(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(LABELS[kind]).alias("label")))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seapoint.llm.components import connected_components
-from seapoint.llm.staging import staged
+from seapoint.llm.staging import scratch, staged
 from seapoint.llm.words import Words, mixed, plain_words, signed, slices
 
 SHINGLE = 5
@@ -156,7 +156,7 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The edges among ``pairs(a, b)``; texts travel compressed, one at a time."""
     first = pairs.join(texts.select(F.col("doc").alias("a"), F.col("packed").alias("pa")), "a")
     both = first.join(texts.select(F.col("doc").alias("b"), F.col("packed").alias("pb")), "b")
-    return staged(both.select("a", "b", "pa", "pb").mapInArrow(_verify, "a long, b long"), "similar")
+    return both.select("a", "b", "pa", "pb").mapInArrow(_verify, "a long, b long")
 
 
 def _shareable(a: str, b: str) -> Column:
@@ -196,7 +196,11 @@ def _late_positions(rows: DataFrame, total: int, bits: int) -> np.ndarray:
 
 def link_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    rows = _rows(documents)
+    with scratch(documents.sparkSession) as kept:
+        return kept(_linked(_rows(documents)), "linked")
+
+
+def _linked(rows: DataFrame) -> DataFrame:
     described = staged(
         rows.mapInArrow(_describe, "doc_id long, n long, f1 long, f2 long, dense array<long>"), "sets"
     )
@@ -219,50 +223,49 @@ def link_documents(documents: DataFrame) -> DataFrame:
     met = staged(
         places.groupBy("place").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("place"), "places"
     )
-    groups = staged(
-        places.join(met, "place")
-        .join(copies, "doc", "left")
-        .groupBy("place", F.coalesce("rep", "doc").alias("doc"))
-        .agg(F.first("ordinal").alias("ordinal")),
-        "groups",
-    )
-    texts = staged(
-        rows.filter("doc_id IS NOT NULL")
-        .mapInArrow(_pack, "doc long, packed binary")
-        .join(groups.select("doc").distinct(), "doc", "left_semi"),
-        "packed",
-    )
-    facts = staged(
-        usable.select(F.col("doc_id").alias("doc"), "n", "dense").join(groups.select("doc").distinct(), "doc", "left_semi").distinct(), "facts"
-    )
-    groups = staged(groups.join(facts.select("doc", "n"), "doc"), "sized")
+    with scratch(rows.sparkSession) as kept:
+        groups = staged(
+            places.join(met, "place")
+            .join(copies, "doc", "left")
+            .groupBy("place", F.coalesce("rep", "doc").alias("doc"))
+            .agg(F.first("ordinal").alias("ordinal")),
+            "groups",
+        )
+        grouped = staged(groups.select("doc").distinct(), "grouped")
+        facts = kept(usable.select(F.col("doc_id").alias("doc"), "n", "dense").join(grouped, "doc", "left_semi").distinct(), "facts")
+        packed = rows.filter("doc_id IS NOT NULL").mapInArrow(_pack, "doc long, packed binary")
+        texts = kept(packed.join(grouped, "doc", "left_semi"), "packed")
+        groups = kept(groups.join(facts.select("doc", "n"), "doc"), "sized")
 
     edges = copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     component = staged(connected_components(edges), "components")
+    spark = rows.sparkSession
     tested = None
     for least in (True, False):
-        open_groups = _open(groups, component)
-        pivots = staged(open_groups.groupBy("place").agg((F.min if least else F.max)(F.struct("doc", "component", "n", "ordinal")).alias("pivot")), "pivots")
-        # One pivot for each class: the one that it shares most positions with.
-        stars = (
-            open_groups.join(pivots, "place")
-            .select("doc", "component", "pivot", F.struct("n", "ordinal").alias("own"))
-            .filter((F.col("component") != F.col("pivot.component")) & _shareable("own", "pivot"))
-            .groupBy(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
-            .agg(F.count("*").alias("n"))
-            .groupBy("a")
-            .agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-        )
-        pairs = _screened(staged(stars, "stars"), facts)
-        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = edges.unionByName(_similar(pairs, texts))
-        component = staged(connected_components(edges), "components")
+        with scratch(spark) as kept:
+            open_groups = _open(groups, component)
+            pivots = staged(open_groups.groupBy("place").agg((F.min if least else F.max)(F.struct("doc", "component", "n", "ordinal")).alias("pivot")), "pivots")
+            # One pivot for each class: the one that it shares most positions with.
+            stars = (
+                open_groups.join(pivots, "place")
+                .select("doc", "component", "pivot", F.struct("n", "ordinal").alias("own"))
+                .filter((F.col("component") != F.col("pivot.component")) & _shareable("own", "pivot"))
+                .groupBy(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
+                .agg(F.count("*").alias("n"))
+                .groupBy("a")
+                .agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+            )
+            pairs = _screened(staged(stars, "stars"), facts)
+            pairs = kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            edges = edges.unionByName(kept(_similar(pairs, texts), "similar"))
+            component = kept(connected_components(edges), "components")
 
     # What is left: classes that share a position but not a component.
-    open_groups = _open(groups, component)
-    pivots = staged(open_groups.groupBy("place").agg(F.min_by("component", "doc").alias("main")), "pivots")
-    rest = staged(open_groups.join(pivots, "place"), "rest")
+    with scratch(spark) as kept:
+        open_groups = _open(groups, component)
+        pivots = staged(open_groups.groupBy("place").agg(F.min_by("component", "doc").alias("main")), "pivots")
+        rest = kept(open_groups.join(pivots, "place"), "rest")
     x, y = rest.filter("component <> main").alias("x"), rest.alias("y")
     # Both apart from the group's main component: the pair is met twice, and taken once.
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))
@@ -272,7 +275,7 @@ def link_documents(documents: DataFrame) -> DataFrame:
         .distinct()
     )
     last = staged(_screened(staged(last.join(tested, ["a", "b"], "left_anti"), "near"), facts), "pairs")
-    edges = edges.unionByName(_similar(last, texts))
+    edges = edges.unionByName(staged(_similar(last, texts), "similar"))
     component = staged(connected_components(edges), "components")
     return described.join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
@@ -284,12 +287,13 @@ def _open(groups: DataFrame, component: DataFrame) -> DataFrame:
     named = groups.join(component.withColumnRenamed("vertex", "doc"), "doc", "left").select(
         "place", "doc", "n", "ordinal", F.coalesce("component", "doc").alias("component")
     )
-    named = staged(named, "named")
-    open_places = staged(
-        named.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("place"),
-        "open",
-    )
-    return staged(named.join(open_places, "place"), "open")
+    with scratch(groups.sparkSession) as kept:
+        named = staged(named, "named")
+        open_places = staged(
+            named.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("place"),
+            "open",
+        )
+        return kept(named.join(open_places, "place"), "open")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
@@ -297,7 +301,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     Rows with a null ``doc_id`` stay. Of rows that repeat a ``doc_id`` one stays.
     """
-    found = staged(link_documents(documents), "linked")
+    found = link_documents(documents)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     kept = documents.join(staged(gone, "gone"), documents["doc_id"] == F.col("gone_id"), "left_anti")
     repeated = staged(

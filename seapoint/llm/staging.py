@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_block: ContextVar[str | None] = ContextVar("block", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where none is named (tests), a new local one."""
@@ -18,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    return f"{_block.get() or shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -30,3 +35,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is staged in the block is deleted at its end; the function that it gives stages tables that stay.
+
+    Only such tables may be used after the block. Blocks may be nested: a table that stays goes with the outer one.
+    """
+    outer, inner = _block.get(), new_path(spark, "scratch")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        token = _block.set(outer)
+        try:
+            return staged(df, name)
+        finally:
+            _block.reset(token)
+
+    token = _block.set(inner)
+    try:
+        yield kept
+    finally:
+        _block.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(inner)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
