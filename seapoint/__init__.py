@@ -14,6 +14,7 @@ from seapoint.sources.observations import (
     cube_to_rows,
     land_observations,
     read_observations,
+    redeliver_observations,
     subset,
     unique_coordinates,
 )
@@ -43,6 +44,7 @@ __all__ = [
     "latest_reading",
     "products",
     "read_observations",
+    "redeliver_observations",
     "request_extent",
     "salinity_series",
     "session",

@@ -55,6 +55,8 @@ def classified(asked: DataFrame, observations: DataFrame, product: Product) -> D
     reach = hours_interval(product.max_offset_h)
     start, end = F.col("first_utc") + reach, F.col("last_utc") - reach
     valid_depth = F.when(F.col("value").isNotNull(), F.col("depth_m"))
+    # Depth, then value: a total order, should a coordinate come with two values.
+    valid_order = F.when(F.col("value").isNotNull(), F.struct("depth_m", "value"))
     shallowest = (
         match(asked, of_product(observations, product), POINT_AND_HOURS)
         .groupBy(
@@ -63,7 +65,7 @@ def classified(asked: DataFrame, observations: DataFrame, product: Product) -> D
         .agg(
             F.min("depth_m").alias("depth_m"),
             F.min(valid_depth).alias("valid_depth"),
-            F.min_by("value", valid_depth).alias("shallowest_value"),
+            F.min_by("value", valid_order).alias("shallowest_value"),
         )
         .withColumn(
             "value", F.when(F.col("valid_depth") == F.col("depth_m"), F.col("shallowest_value"))

@@ -9,9 +9,11 @@ each row of the crowded side belongs to exactly one part.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is cut. At most (rows / HOT_ROWS) keys can be hot, which bounds
-# the broadcast list of hot keys: 10^10 rows give at most 40,000 entries.
+# A key with more rows than this is cut.
 HOT_ROWS = 250_000
+# The list of hot keys is broadcast, so it has a fixed ceiling: the most crowded keys. Any other key holds less
+# than 1 / MOST_HOT of the rows and is left to adaptive skew splitting. The ceiling changes the plan, not the rows.
+MOST_HOT = 20_000
 
 _PARTS = "n_parts"
 PART = "part"
@@ -19,11 +21,17 @@ PART = "part"
 
 def hot_keys(rows: DataFrame, keys: list[str], weight: Column, hot_rows: int) -> DataFrame:
     """Keys that carry more than ``hot_rows`` rows, and into how many parts to cut each."""
+    counted = rows.groupBy(*keys).agg(F.sum(weight).alias("n_rows"))
+    return most_crowded(counted, keys, "n_rows", hot_rows)
+
+
+def most_crowded(counted: DataFrame, keys: list[str], n_rows: str, hot_rows: int) -> DataFrame:
+    """The keys with over ``hot_rows`` rows and their parts: at most ``MOST_HOT`` entries, whatever the row count."""
     return (
-        rows.groupBy(*keys)
-        .agg(F.sum(weight).alias("n_rows"))
-        .where(F.col("n_rows") > hot_rows)
-        .select(*keys, F.ceil(F.col("n_rows") / hot_rows).alias(_PARTS))
+        counted.where(F.col(n_rows) > hot_rows)
+        .orderBy(F.desc(n_rows), *keys)
+        .limit(MOST_HOT)
+        .select(*keys, F.ceil(F.col(n_rows) / hot_rows).alias(_PARTS))
     )
 
 

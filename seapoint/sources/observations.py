@@ -8,7 +8,7 @@ no value.
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from seapoint.functions.geo import HALF_WIDTH_DEG, TILE_DEG, tile_of
@@ -97,21 +97,52 @@ def land_observations(
 ) -> None:
     """Write an observation table laid out for ``read_observations`` and for the tile join.
 
+    ``append`` is refused: it would not see what is stored. Use ``redeliver_observations``.
+
     Directories per dataset and UTC date; inside, rows ranged and sorted by tile, so row-group
     statistics prune by place. The range ends in the cell and the instant: a date or tile that
     holds a third of all rows is cut over many tasks and files.
     """
+    if mode == "append":
+        raise ValueError("append could store two values for one coordinate: redeliver_observations")
+    _laid_out(with_tiles(unique_coordinates(rows)), files).mode(mode).parquet(path)
+
+
+def redeliver_observations(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """Merge a later delivery into a landed table: its values replace those stored.
+
+    What it delivers as missing is missing afterwards; coordinates that it does not name stay. Only
+    directories of a dataset and date that it touches are read and written again (dynamic partition
+    overwrite, committed at the end). Two deliveries into one table must not run at once.
+    """
+    spark = rows.sparkSession
+    delivered = with_tiles(unique_coordinates(rows)).select(*STORED_OBSERVATIONS.names)
+    touched = delivered.select("dataset_id", "obs_date").distinct()
+    # Two dates: literals that prune the listing before the exact semi join.
+    span = touched.agg(F.min("obs_date").alias("first"), F.max("obs_date").alias("last")).first()
+    if span["first"] is None:
+        return
+    stored = (
+        spark.read.schema(STORED_OBSERVATIONS)
+        .parquet(path)
+        .where(F.col("obs_date").between(F.lit(span["first"]), F.lit(span["last"])))
+        .join(touched, ["dataset_id", "obs_date"], "left_semi")
+    )
+    both = stored.select(*STORED_OBSERVATIONS.names, F.lit(0).alias("delivery")).unionByName(
+        delivered.withColumn("delivery", F.lit(1))
+    )
+    merged = both.groupBy(*COORDINATES).agg(F.max_by("value", "delivery").alias("value"))
+    writer = _laid_out(with_tiles(merged), files)
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def _laid_out(rows: DataFrame, files: int | None) -> DataFrameWriter:
     order = ("dataset_id", "obs_date", "tile_lat", "tile_lon", "cell_lat", "cell_lon", "time_utc")
-    stored = with_tiles(unique_coordinates(rows)).select(*STORED_OBSERVATIONS.names)
+    stored = rows.select(*STORED_OBSERVATIONS.names)
     ranged = (
         stored.repartitionByRange(files, *order) if files else stored.repartitionByRange(*order)
     )
-    (
-        ranged.sortWithinPartitions(*order)
-        .write.mode(mode)
-        .partitionBy("dataset_id", "obs_date")
-        .parquet(path)
-    )
+    return ranged.sortWithinPartitions(*order).write.partitionBy("dataset_id", "obs_date")
 
 
 def subset(

@@ -11,6 +11,7 @@ from seapoint import (
     land_observations,
     products,
     read_observations,
+    redeliver_observations,
     request_extent,
     unique_coordinates,
     wave_gate,
@@ -61,6 +62,33 @@ def test_copies_collapse_and_contradictions_fail(spark):
     assert [r.value for r in unique_coordinates(missing).collect()] == [None]
 
 
+def test_a_later_delivery_wins_and_other_dates_stay(spark, tmp_path):
+    path = str(tmp_path / "observations")
+
+    def rows(*values):
+        return spark.createDataFrame(
+            [("d", variable, at(time), None, -12.5, NEAR, value) for variable, time, value in values],
+            OBSERVATIONS,
+        )
+
+    first = [("v", "2026-08-13", 1.0), ("v", "2026-08-14", 2.0), ("v", "2026-08-14 06:00", 3.0)]
+    first += [("w", "2026-08-14", 4.0), ("v", "2026-08-16", 5.0)]
+    land_observations(rows(*first), path, files=2)
+    with pytest.raises(ValueError, match="redeliver"):
+        land_observations(rows(*first), path, mode="append")
+    untouched = set((tmp_path / "observations").rglob("obs_date=2026-08-13/*.parquet"))
+    later = [("v", "2026-08-14", 0.5), ("v", "2026-08-14 06:00", NAN), ("v", "2026-08-15", 7.0)]
+    for _ in range(2):
+        redeliver_observations(rows(*later), path, files=2)
+    redeliver_observations(rows(), path)
+    stored = spark.read.parquet(path).select("variable", "time_utc", "value").collect()
+    want = {(v, at(t)): x for v, t, x in first} | {(v, at(t)): x for v, t, x in later}
+    want["v", at("2026-08-14 06:00")] = None
+    assert len(stored) == len(want)
+    assert {(r.variable, r.time_utc): r.value for r in stored} == want
+    assert set((tmp_path / "observations").rglob("obs_date=2026-08-13/*.parquet")) == untouched
+
+
 @pytest.fixture(scope="module")
 def landed(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("landed") / "observations")

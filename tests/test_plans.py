@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import seapoint.plans.completion as completion
 import seapoint.plans.match as matching
+import seapoint.plans.skew as skew
 from __spark_entry__ import queries
 from seapoint import chlorophyll_latest, salinity_series, temperature_series, wave_gate
 from seapoint.derived import observations, requests_from_orders
@@ -155,6 +156,16 @@ def test_split_join_spreads_a_hot_key(spark):
     same(left.select("k", "id", "v"), crowded.join(fewer, "k", "left").select("k", "id", "v"))
 
 
+def test_the_list_of_hot_keys_has_a_ceiling(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST_HOT", 3)
+    crowded = spark.range(3000).select(F.least(F.col("id") % 100, F.lit(90)).alias("k"), "id")
+    hot = hot_keys(crowded, ["k"], F.lit(1), 20)
+    assert [r.k for r in hot.collect()] == [90, 0, 1]
+    other = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = split_join(crowded, other, ["k"], ["id"], hot)
+    same(joined.select("k", "id", "v"), crowded.join(other, "k").select("k", "id", "v"))
+
+
 def test_levels_fold_inside_the_shuffled_match(spark):
     """With both sides shuffled, the fold of the levels adds no exchange on top of the join."""
     limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
