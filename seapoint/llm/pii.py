@@ -4,8 +4,10 @@ Four kinds are found by pattern. What they find are the protected entities. A te
 letters (at least ``MIN_LETTERS``); it occurs with an entity where it is among the ``CONTEXT`` terms before or after it. Over all
 documents, with document counts ``n``, the pointwise mutual information of entity and term is
 ``log2(n_et * N / (n_e * n_t))`` and the information content of the entity ``log2(N / n_e)``. A term
-whose information about the entity reaches the share ``DISCLOSURE`` of that content, in at
-least ``SUPPORT`` different texts, discloses it: in the documents that hold the entity it is generalised.
+whose information about the entity reaches the share ``DISCLOSURE`` of that content discloses it: in the documents
+that hold the entity it is generalised. Rare entities count, down to ``SUPPORT`` text. What keeps chance out is the information itself: over the
+different texts in which the pair stands it must add up to ``log2(1 / CHANCE)`` bits. One text tells that much
+from ``1 / CHANCE`` documents on, in smaller tables it takes more texts; exact copies are one text.
 
 Everything is DataFrame functions. Offsets are code points: matches are set off by a control
 character (one of the text's own is changed to another first, which keeps the length) and the
@@ -18,6 +20,8 @@ by ``sanitised`` and not looked at by ``personal_data``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +29,9 @@ from seapoint.llm.staging import scratch, staged
 
 CONTEXT = 3
 MIN_LETTERS = 3
-SUPPORT = 5
+SUPPORT = 1
 DISCLOSURE = 0.9
+CHANCE = 0.01
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -138,7 +143,7 @@ def _entities(scanned: DataFrame) -> DataFrame:
 def disclosing_terms(
     documents: DataFrame, entities: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE
 ) -> DataFrame:
-    """``entity, term, share``: terms whose information about an entity reaches ``disclosure`` of its content."""
+    """``entity, term, share``: terms whose information about an entity reaches ``disclosure`` of its content, not by chance."""
     entities = entities.select("row", "copy", "entity", "terms")
     texts = documents.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     holders = entities.groupBy("entity").agg(F.countDistinct("row").alias("n_e"), F.countDistinct("copy").alias("texts"))
@@ -156,7 +161,7 @@ def disclosing_terms(
     return (
         candidates.join(frequencies, "term")
         .withColumn("share", F.when(content > 0, information / content).otherwise(F.lit(0.0)))
-        .filter(F.col("share") >= disclosure)
+        .filter((F.col("share") >= disclosure) & (F.col("support") * information >= math.log2(1 / CHANCE)))
         .select("entity", "term", "share")
     )
 

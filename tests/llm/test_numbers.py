@@ -110,6 +110,21 @@ def test_disclosing_terms(spark):
     assert "[TERM] common at [EMAIL]" in sanitised(docs).filter("doc_id = 3").first().text
 
 
+def test_terms_of_rare_entities(spark):
+    """A name beside an address of one, two or four texts gives it away; where all is rare, chance does not."""
+    told = [(10 * n + i, f"note {i} from {name} common at {name[0]}@home.org today") for n, name in ((1, "Abimelech"), (2, "Bathsheba"), (4, "Cornelius")) for i in range(n)]
+    other = [(100 + i, f"a common note from us about number {i} at home today") for i in range(200)]
+    docs = spark.createDataFrame(told + other, "doc_id long, text string")
+    rows = {r.doc_id: r for r in personal_data(docs).collect()}
+    for i, text in told:
+        at = text.index(" from ") + 6
+        assert [x for x in rows[i].spans.split(",") if x.startswith("term:")] == [f"term:{at}:{at + 9}"]
+    assert all(rows[i].spans == "" for i, _ in other)
+    assert sanitised(docs).filter("doc_id = 10").first().text == "note 0 from [TERM] common at [EMAIL] today"
+    few = {r.doc_id: r.n_term for r in personal_data(docs.filter("doc_id = 10 OR doc_id BETWEEN 100 AND 120")).collect()}
+    assert len(few) == 22 and set(few.values()) == {0}
+
+
 def test_rates(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
