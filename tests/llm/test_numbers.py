@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from seapoint.llm.components import connected_components
-from seapoint.llm.mixing import document_rates, mixed
+from seapoint.llm.mixing import document_rates, fit_rates, mixed
 from seapoint.llm.pii import personal_data, sanitised
 from seapoint.llm.vector_join import link_vectors
 
@@ -135,6 +135,31 @@ def test_rates(spark):
     assert rates.count() == docs.count()
 
 
+def _met(rows, factors):
+    rates = [max(0.0, 1.0 + float(np.dot(p, factors))) for _, p in rows]
+    return sum(n * np.array(p) * r for (n, p), r in zip(rows, rates)) / sum(n for n, _ in rows)
+
+
+@pytest.mark.parametrize("pure", [True, False])
+def test_rates_of_rare_domains(spark, pure):
+    """A wanted domain with a thousandth of the tokens reaches its target, with soft posteriors too."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(2000):
+        own = 0 if i < 2 else 2 if i < 42 else 1
+        p = np.exp(np.eye(3)[own] * (60 if pure else 8) + rng.normal(size=3) * (0 if pure else 2))
+        rows.append((100.0, (p / p.sum()).tolist()))
+    frame = spark.createDataFrame(rows, "n double, p array<double>")
+    names = ["high", "low", "toxic"]
+    factors = fit_rates(frame, names, {"high": 0.8, "low": 0.2, "toxic": 0.0})
+    assert _met(rows, factors) == pytest.approx([0.8, 0.2, 0.0], abs=1e-5 if pure else 1e-2)
+    with pytest.raises(RuntimeError, match="did not converge"):
+        fit_rates(frame, names, {"high": 0.8, "low": 0.2, "toxic": 0.0}, steps=1)
+    with pytest.warns(UserWarning, match="misses its targets by up to 0.8"):
+        never = fit_rates(frame.selectExpr("n", "array(0D, p[1], p[2]) AS p"), names, {"high": 0.8, "low": 0.2})
+    assert np.isfinite(never).all()
+
+
 def test_rates_of_odd_tables(spark, corpus, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 1), (None, 1, 0), (3, None, None), (999, 0, 0)], "doc_id long, quality int, toxic int")
     assert document_rates(corpus, labels).count() == corpus.count()
