@@ -2,13 +2,17 @@
 
 Markup is stripped to one line per block. A line carries its text length; a line of furniture (menu,
 header, footer, sidebar, advert, form, notice, comments, and whatever stands outside the article
-of a page that marks one) and linked text carry none. Sums over sliding windows of ``WINDOW`` lines
-rise steeply where the article begins (surge) and fall to nothing where it ends (dive); the lines
-between are kept, short ones too.
+of a page that marks one) and linked text carry none, but a linked heading counts as text. On a page without marks, sums over sliding
+windows of ``WINDOW`` lines rise steeply where the article begins (surge). It reaches back over text, furniture and short runs of links to a run of
+``WINDOW`` linked lines (a menu), and on to the last line that carries text, whatever stands between: a dive in the middle ends nothing. Of this
+range all but furniture is kept, short lines and linked ones too, and so are fewer than ``WINDOW`` linked lines right before or after it.
+
+A page that marks its article (``article``, ``main``) is taken by the mark: all but furniture inside it. Where it has both, ``article``
+counts if it holds at least half of the text that ``main`` and ``article`` hold, else both do.
 
 Defined cases: null or empty html gives an empty text; a tag that is never closed lasts to the end
-of what holds it; a page without any line dense enough keeps its lines of article text as
-they are; a repeated row gives a row each time; other columns are not looked at.
+of what holds it; a page without any line dense enough keeps the range of all its lines of text, and one of links alone
+keeps them; a repeated row gives a row each time; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ SURGE = 60
 # Elements of HTML by their role.
 _DROP = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button head title datalist dialog".split())
 _FURNITURE = frozenset("nav header footer aside form menu fieldset".split())
-_ARTICLE = {"main": 1, "article": 2}  # the inner one counts where a page has both
+_ARTICLE = {"main": 1, "article": 2}
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary "
@@ -62,13 +67,12 @@ def _is_furniture(attributes: str, hints: re.Pattern) -> bool:
     return any(hints.search((a or b or c).lower()) for a, b, c in _HINT_ATTRIBUTES.findall(attributes))
 
 
-def _lines(page: str) -> tuple[list[tuple[str, int, bool, int]], int]:
-    """Blocks as (text, characters outside links, furniture, innermost article mark), and the strongest mark."""
+def _lines(page: str) -> list[tuple[str, int, bool, int]]:
+    """Blocks as (text, characters outside links, furniture, innermost article mark)."""
     lines: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, int, bool]] = []  # name, furniture, article, link
-    marked = 0
     at = 0
 
     def flush() -> None:
@@ -99,7 +103,7 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool, int]], int]:
         if end > at:
             piece = page[at:end]
             parts.append(piece)
-            if stack and stack[-1][3]:
+            if stack and stack[-1][3] and not any(x[0] in _HEADING for x in stack):
                 linked += len(piece)
         if not token:
             break
@@ -145,43 +149,46 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool, int]], int]:
         inside = max(article, _ARTICLE.get(name, 0))
         is_header_of_article = name == "header" and article
         furniture = furniture or (name in _FURNITURE and not is_header_of_article) or (name not in ("html", "body") and _is_furniture(attributes, _FOREIGN if name in _ARTICLE else _HINT))
-        if not furniture:
-            marked = max(marked, inside)
         stack.append((name, furniture, inside, link or name == "a"))
     flush()
-    return lines, marked
+    return lines
+
+
+def _mark(lines: list[tuple[str, int, bool, int]]) -> int:
+    """The mark from which on lines are article: that of ``article`` if it holds most marked text, of ``main``, or none."""
+    held = [sum(len(t) for t, _, furniture, inside in lines if not furniture and inside >= mark) for mark in (1, 2)]
+    return 2 if held[1] and 2 * held[1] >= held[0] else 1 if held[0] else 0
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of one page, its blocks joined by a line feed."""
     if not page:
         return ""
-    lines, marked = _lines(page)
-    texts = [t for t, *_ in lines]
-    usable = [not furniture and inside >= marked for _, _, furniture, inside in lines]
-    weights = [(n if not marked else len(t)) if ok else 0 for (t, n, _, _), ok in zip(lines, usable, strict=True)]
-    n = len(lines)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
-    threshold = 1 if marked else surge
-    kept = [False] * n
-    i = 0
-    while i < n:
-        if sums[i] < threshold:
-            i += 1
-            continue
-        # Surge at i; the dive is where a whole window holds nothing any more.
-        end = i
-        while end < n and sums[end] > 0:
-            end += 1
-        first, last = i, end
-        while first > 0 and weights[first - 1] > 0:
-            first -= 1
-        for k in range(first, last):
-            kept[k] = usable[k] and (weights[k] > 0 or marked)
-        i = end + 1
-    if not any(kept):
-        kept = [ok and w > 0 for ok, w in zip(usable, weights, strict=True)]
-    return "\n".join(t for t, keep in zip(texts, kept, strict=True) if keep)
+    lines = _lines(page)
+    marked = _mark(lines)
+    # Furniture has no place among the lines; what is left is text or links.
+    lines = [x for x in lines if not x[2] and x[3] >= marked]
+    if marked:
+        return "\n".join(t for t, *_ in lines)
+    weights = [w for _, w, *_ in lines]
+    carrying = [i for i, w in enumerate(weights) if w]
+    if not carrying:
+        return "\n".join(t for t, *_ in lines)
+    sums = [sum(weights[i : i + window]) for i in range(len(lines))]
+    first = next((i for i, x in enumerate(sums) if x >= surge), carrying[0])
+    while not weights[first]:
+        first += 1
+    for i in reversed([x for x in carrying if x < first]):
+        if first - i > window:
+            break
+        first = i
+    last = carrying[-1]
+    before = next((i for i in range(first - 1, -1, -1) if weights[i]), -1)
+    if first - before - 1 < window:
+        first = before + 1
+    if len(lines) - last - 1 < window:
+        last = len(lines) - 1
+    return "\n".join(t for t, *_ in lines[first : last + 1])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -60,6 +60,28 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+LONG = ("plain text of a page without marks. " * 4).strip()
+MENU = "<ul><li><a href=a>one</a><li><a href=b>two</a><li><a href=c>three</a></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p>{LONG}</p>" + "<div class='ad'>buy this</div>" * 3 + "<p>Short end.</p>", f"{LONG}\nShort end."),
+        (f"<p>{LONG}</p>{MENU}<p>Short end.</p>", f"{LONG}\none\ntwo\nthree\nShort end."),
+        (f"<div>Shop</div>{MENU}<h1>Title</h1>" + "<div class='share'>share</div>" * 4 + f"<p>{LONG}</p>{MENU}", f"Title\n{LONG}"),
+        (f"{MENU}<h1><a href=x>Title</a></h1><p>{LONG}</p><p><a href=y>A source</a></p>", f"Title\n{LONG}\nA source"),
+        (f"<p>{LONG}</p><p><a href=x>A linked line</a></p><p>End.</p>", f"{LONG}\nA linked line\nEnd."),
+        (f"<main><p>{LONG}</p><p>More.</p><article class='card'>teaser</article></main>", f"{LONG}\nMore.\nteaser"),
+        (f"<main><p>Lead.</p><article><p>{LONG}</p></article></main>", LONG),
+        ("<p><a href=x>only a link</a></p>", "only a link"),
+    ],
+)
+def test_text_beside_furniture(page, want):
+    """Nothing but furniture goes: not what follows an advert, not a linked line, not the body around a card."""
+    assert main_text(page) == want
+
+
 def test_extraction_of_a_table(spark):
     rows = [(1, "u", f"<article>{ARTICLE}</article>", "x"), (None, None, None, "y"), (1, "u", "<article><p>" + "word " * 50_000 + "</article>", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
