@@ -7,13 +7,17 @@ their set sizes. Nystrom features come from landmark texts, and a ridge regressi
 is solved on them in closed form. Scoring is two matrix products per batch: presence matrix times
 landmarks, kernel times weights.
 
+Whether a text is in a learned language at all is not told by the scores, which only share out 1 among the languages. Its evidence is the
+mean logarithm, over its places, of the share of a language's sample texts that have the place, for the language where that is highest. The least evidence is
+calibrated on the sample, each text against the others: one and a quarter times as far below the lowest hundredth as that lies below the median.
+
 The model is fitted on a bounded sample: about ``SAMPLE_PER_LANGUAGE`` training rows of each language,
 chosen by a hash of text and id, so the same rows whatever the cluster does. All counts behind
 the choice cover all rows, and every row is scored on its whole text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any usable training row
 every text is ``und``; rows with a null language or id are not trained on (a null id is not held out);
-one language only gives that language everywhere; equal scores go to the first language in sorted
+one language only gives that language everywhere; of a language with a single sample text no evidence is calibrated; equal scores go to the first language in sorted
 order; a repeated row gives a row each time; other columns are not looked at.
 """
 
@@ -36,7 +40,7 @@ SAMPLE_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 64
 RIDGE = 1e-3
 SHARPNESS = 8.0
-LEAST_SCORE = 0.3
+UNSEEN = 0.01
 UNKNOWN = "und"
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -77,13 +81,13 @@ def training_rows(documents: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Landmarks and weights; ``score`` gives language indices and scores of a batch of texts."""
+    """Landmarks, weights, shares of places and least evidence; ``score`` gives language indices and scores of a batch of texts."""
 
-    def __init__(self, languages: list[str], landmarks: np.ndarray, weights: np.ndarray):
-        self.languages, self.landmarks, self.weights = languages, landmarks, weights
+    def __init__(self, languages: list[str], landmarks: np.ndarray, weights: np.ndarray, shares: np.ndarray, least: float):
+        self.languages, self.landmarks, self.weights, self.shares, self.least = languages, landmarks, weights, shares, least
 
     def parts(self) -> tuple:
-        return self.languages, self.landmarks, self.weights
+        return self.languages, self.landmarks, self.weights, self.shares, self.least
 
     @staticmethod
     def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
@@ -106,7 +110,25 @@ class Model:
         weight = 1.0 / np.bincount(index, minlength=len(languages))[index]
         gram = features.T @ (features * weight[:, None]) + ridge * np.eye(features.shape[1])
         solved = np.linalg.solve(gram, features.T @ (targets * weight[:, None]))
-        return cls(languages, landmarks, to_features @ solved)
+        model = cls(languages, landmarks, to_features @ solved, np.stack([rows[index == k].mean(0) for k in range(len(languages))]), -np.inf)
+        model.least = model._least(rows, index)
+        return model
+
+    def _least(self, rows: np.ndarray, index: np.ndarray) -> float:
+        counts = np.bincount(index, minlength=len(self.languages))
+        own = np.full(len(rows), -np.inf)
+        for k in np.flatnonzero(counts > 1):
+            # Each row against the others of its language: a place that it has itself counts one row less.
+            seen = np.log((self.shares[k] * counts[k] - 1).clip(0) / (counts[k] - 1) + UNSEEN)
+            own[index == k] = rows[index == k] @ seen / rows[index == k].sum(1)
+        own = own[np.isfinite(own)]
+        if not len(own):
+            return -np.inf
+        low, median = np.quantile(own, [0.01, 0.5])
+        return float(low - 1.25 * (median - low))
+
+    def evidence(self, rows: np.ndarray) -> np.ndarray:
+        return (rows @ np.log(self.shares + UNSEEN).T / np.maximum(rows.sum(1, keepdims=True), 1.0)).max(1)
 
     def score(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         margins = self.kernel(rows, self.landmarks) @ self.weights
@@ -188,10 +210,10 @@ def identify_languages(documents: DataFrame, model: Model | None = None) -> Data
     )
 
 
-def with_known_language(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+def with_known_language(documents: DataFrame) -> DataFrame:
     """``documents`` without the rows whose language cannot be told; columns unchanged.
 
-    Rejected are texts without a letter (``und``) and those scored below ``least_score``. Where no
+    Rejected are texts without a letter (``und``) and those with less than the least evidence of a learned language. Where no
     model could be fitted, only texts without a letter go.
     """
     model = fit_language_model(documents)
@@ -203,7 +225,7 @@ def with_known_language(documents: DataFrame, least_score: float = LEAST_SCORE)
             for start in range(0, len(texts), 512):
                 rows, good = presence(texts[start : start + 512])
                 if fitted:
-                    good = good & (fitted.score(rows)[1] >= least_score)
+                    good = good & (fitted.evidence(rows) >= fitted.least)
                 yield batch.slice(start, 512).take(pa.array(np.flatnonzero(good)))
 
     return documents.mapInArrow(keep, documents.schema)

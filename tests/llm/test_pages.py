@@ -102,3 +102,14 @@ def test_languages(spark, corpus, nothing):
     assert {r.lang_pred for r in identify_languages(corpus.withColumn("lang", corpus.lang.substr(9, 1)).filter("false").unionByName(nothing)).collect()} == set()
     kept = with_known_language(corpus)
     assert kept.schema == corpus.schema and kept.filter("text IS NULL OR text = '12 34 !!'").count() == 0
+
+
+def test_languages_that_were_not_learned(spark):
+    """Other scripts and languages go, however many were learned; every document of a learned one stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL")
+    texts = ["Это обычный русский текст о погоде и о людях, которые живут в городе.", "Ez egy magyar szöveg, amely a városban élő emberekről szól.", "Η γλώσσα είναι ελληνική"]
+    other = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for known in (["de", "en"], ["de", "en", "es"], ["de", "en", "es", "fr"]):
+        learned = docs.filter(docs.lang.isin(known))
+        kept = [r.doc_id for r in with_known_language(learned.unionByName(other, allowMissingColumns=True)).select("doc_id").collect()]
+        assert sorted(kept) == sorted(r.doc_id for r in learned.collect())
