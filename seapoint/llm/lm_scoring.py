@@ -2,7 +2,7 @@
 
 A word after its context scores the count of the n-gram over that of the context; where the n-gram does not
 occur, ``ALPHA`` times the score with a context shorter by one word. Counts are those of the whole corpus less the document's
-own, so a text doesn't vouch for itself.
+own, so a text doesn't vouch for itself. N-grams have up to ``ORDER`` words.
 
 Documents are dealt to blocks of about ``BLOCK_BYTES`` by a hash. A block counts its own n-grams first and sends each
 once, in ``buckets`` by the leading bits of its hash; a bucket adds up the blocks' counts (a very common n-gram
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from seapoint.llm.words import Words, mixed, plain_words, slices
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 BLOCK_BYTES = 3 << 20
 BUCKET_WORDS = 2_000_000

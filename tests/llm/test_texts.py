@@ -146,3 +146,10 @@ def test_scores(corpus, nothing):
         got = [(r.doc_id, r.n_words, round(r.log_score, 6)) for r in score_documents(corpus, order=order, block_bytes=4000).collect()]
         assert _sorted(got) == _sorted(want)
     assert score_documents(nothing).collect() == []
+
+
+def test_scores_use_two_words_of_context(spark):
+    """Where the last word alone leaves it open, the two before tell what comes next."""
+    texts = ["a x c"] * 4 + ["b x d"] * 4 + ["a x c", "a x d"]
+    rows = {r.doc_id: r.log_score for r in score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[8] - rows[9] > math.log(2)
