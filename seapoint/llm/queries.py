@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seapoint.llm import oracle
+from seapoint.llm.bpe import token_digests
 from seapoint.llm.decontamination import benchmark_hits
 from seapoint.llm.html_text import extract_text
 from seapoint.llm.language_id import identify_languages
@@ -56,6 +58,9 @@ def queries() -> dict[str, Query]:
         "op8_ngram_jaccard_join": lambda spark, sf_dir: link_documents(_table(spark, sf_dir, "documents")),
         "op9_pii": lambda spark, sf_dir: personal_data(_table(spark, sf_dir, "documents")),
         "op10_embedding_near_dedup": lambda spark, sf_dir: link_vectors(_table(spark, sf_dir, "embeddings")),
+        "op13_byte_bpe": lambda spark, sf_dir: token_digests(
+            _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        ),
     }
 
 
