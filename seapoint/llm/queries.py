@@ -15,6 +15,7 @@ from seapoint.llm.html_text import extract_text
 from seapoint.llm.language_id import identify_languages
 from seapoint.llm.lm_scoring import score_documents
 from seapoint.llm.mixing import document_rates
+from seapoint.llm.periodic_runs import run_digests
 from seapoint.llm.pii import personal_data
 from seapoint.llm.shingle_join import link_documents
 from seapoint.llm.substring_dedup import remove_repeats
@@ -58,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op8_ngram_jaccard_join": lambda spark, sf_dir: link_documents(_table(spark, sf_dir, "documents")),
         "op9_pii": lambda spark, sf_dir: personal_data(_table(spark, sf_dir, "documents")),
         "op10_embedding_near_dedup": lambda spark, sf_dir: link_vectors(_table(spark, sf_dir, "embeddings")),
+        "op12_periodic_runs": lambda spark, sf_dir: run_digests(_table(spark, sf_dir, "documents")),
         "op13_byte_bpe": lambda spark, sf_dir: token_digests(
             _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
         ),
