@@ -19,6 +19,7 @@ from seapoint.llm.periodic_runs import run_digests
 from seapoint.llm.pii import personal_data
 from seapoint.llm.shingle_join import link_documents
 from seapoint.llm.substring_dedup import remove_repeats
+from seapoint.llm.token_alignment import align_tokens
 from seapoint.llm.vector_join import link_vectors
 from seapoint.llm.warc import archive_round_trip
 
@@ -59,6 +60,9 @@ def queries() -> dict[str, Query]:
         "op8_ngram_jaccard_join": lambda spark, sf_dir: link_documents(_table(spark, sf_dir, "documents")),
         "op9_pii": lambda spark, sf_dir: personal_data(_table(spark, sf_dir, "documents")),
         "op10_embedding_near_dedup": lambda spark, sf_dir: link_vectors(_table(spark, sf_dir, "embeddings")),
+        "op11_token_alignment": lambda spark, sf_dir: align_tokens(
+            _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+        ),
         "op12_periodic_runs": lambda spark, sf_dir: run_digests(_table(spark, sf_dir, "documents")),
         "op13_byte_bpe": lambda spark, sf_dir: token_digests(
             _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
