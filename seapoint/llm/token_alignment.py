@@ -76,6 +76,7 @@ class Aligner:
             if "▁" in piece.lstrip("▁"):
                 raise ValueError(f"piece {i} has a space inside, so texts can't be cut at spaces")
             self._b_bytes.append(bytes([int(piece[1:-1], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode())
+        self._space = self._b.piece_to_id("▁")
         self.forget()
 
     def forget(self) -> None:
@@ -85,47 +86,61 @@ class Aligner:
         self.sizes: list[tuple[int, int, int]] = []
         self.links: list[tuple[int, ...]] = []
 
-    def align(self, text: str) -> tuple[str, tuple[int, int, int], tuple[int, ...]] | None:
-        """Groups as text; numbers of first and second tokens and of groups; the linked pairs (first id and second id in one number)."""
-        spelled = (" " + text).encode()
-        a = self._a.encode(spelled.decode(), add_special_tokens=False).ids
-        # The tokenizer puts its space before any text but an empty one.
-        b = self._b.encode(text, num_threads=1) if text else [self._b.piece_to_id("▁")]
-        if b"".join(map(self._a_bytes.__getitem__, a)) != spelled or b"".join(map(self._b_bytes.__getitem__, b)) != spelled:
-            return None
-        ends_a = np.cumsum([len(self._a_bytes[t]) for t in a])
-        ends_b = np.cumsum([len(self._b_bytes[t]) for t in b])
-        shared, in_a, in_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, links, i, j = [], [], 0, 0
-        for x, y in zip((in_a + 1).tolist(), (in_b + 1).tolist()):
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            links.append(a[x - 1] << 32 | b[y - 1])
-            i, j = x, y
-        return ";".join(groups), (len(a), len(b), len(groups)), tuple(links)
-
-    def _add(self, chunk: str) -> int:
-        found = self.align(chunk)
-        at = len(self.groups)
-        self.groups.append(found[0] if found else "")
-        self.sizes.append(found[1] if found else (0, 0, 0))
-        self.links.append(found[2] if found else ())
-        if found is None:
-            self.bad.add(at)
-        if len(chunk) <= LONG_CHUNK:
-            self.number[chunk] = at
-        return at
-
-    def numbers(self, text: str) -> list[int] | None:
-        """The numbers of a text's chunks; None if it has no tokens."""
-        if not text:
-            return None
-        out = []
-        for window in windows(text):
+    def align(self, texts: list[str]) -> Iterator[tuple[str, tuple[int, int, int], tuple[int, ...]] | None]:
+        """For each text: groups as text; numbers of first and second tokens and of groups; the linked pairs (both ids in one number)."""
+        spelled = [" " + t for t in texts]
+        # The second tokenizer puts its space before any text but an empty one.
+        second = [b or [self._space] for b in self._b.encode(texts, num_threads=1)]
+        for text, first, b in zip(spelled, self._a.encode_batch_fast(spelled, add_special_tokens=False), second, strict=True):
+            a, whole = first.ids, text.encode()
+            if b"".join(map(self._a_bytes.__getitem__, a)) != whole or b"".join(map(self._b_bytes.__getitem__, b)) != whole:
+                yield None
+                continue
+            groups, links, i, j, from_i, from_j = [], [], 0, 0, 0, 0
+            end_a, end_b = len(self._a_bytes[a[0]]), len(self._b_bytes[b[0]])
+            while True:
+                if end_a < end_b:
+                    i += 1
+                    end_a += len(self._a_bytes[a[i]])
+                elif end_b < end_a:
+                    j += 1
+                    end_b += len(self._b_bytes[b[j]])
+                else:
+                    links.append(a[i] << 32 | b[j])
+                    i, j = i + 1, j + 1
+                    groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
+                    from_i, from_j = i, j
+                    if i == len(a):
+                        break
+                    end_a += len(self._a_bytes[a[i]])
+                    end_b += len(self._b_bytes[b[j]])
+            yield ";".join(groups), (len(a), len(b), len(groups)), tuple(links)
+
+    def _add(self, new: list[str]) -> None:
+        for chunk, found in zip(new, self.align(new), strict=True):
+            if found is None:
+                self.bad.add(len(self.groups))
+            self.number[chunk] = len(self.groups)
+            text, sizes, links = found or ("", (0, 0, 0), ())
+            self.groups.append(text)
+            self.sizes.append(sizes)
+            self.links.append(links)
+
+    def numbers(self, texts: list[str]) -> list[list[int] | None]:
+        """The numbers of each text's chunks; None if it has no tokens."""
+        parted = []
+        for text in texts:
             # A later window begins with the space that its first chunk has anyway.
-            for chunk in chunks(window[1:] if out else window):
-                at = self.number.get(chunk)
-                out.append(self._add(chunk) if at is None else at)
-        return out if self.bad.isdisjoint(out) else None
+            parts = (chunks(w[1:] if i else w) for i, w in enumerate(windows(text)))
+            parted.append([c for part in parts for c in part])
+        new = list({c for part in parted for c in part if c not in self.number})
+        for at in range(0, len(new), 4096):
+            self._add(new[at : at + 4096])
+        out = [list(map(self.number.__getitem__, part)) for part in parted]
+        for chunk in new:
+            if len(chunk) > LONG_CHUNK:
+                del self.number[chunk]
+        return [x if x and self.bad.isdisjoint(x) else None for x in out]
 
 
 # ---- minimal perfect hashing ---------------------------------------------------------------
@@ -238,8 +253,8 @@ def _counted(holders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         )
 
     for _, texts in _texts(batches):
-        for text in texts:
-            counts.update(aligner.numbers(text) or ())
+        for numbers in aligner.numbers(texts):
+            counts.update(numbers or ())
         if len(aligner.groups) >= MOST_CHUNKS:
             yield given()
             aligner.forget()
@@ -329,7 +344,7 @@ def _looked_up(holders, lookup, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         return np.concatenate([found, more], axis=1)
 
     for batch, texts in _texts(batches):
-        numbers = [aligner.numbers(t) for t in texts]
+        numbers = aligner.numbers(texts)
         found = filled(found)
         sums = [found[:, x or []].sum(axis=1).tolist() for x in numbers]
         if any(unknown for _, _, unknown in sums):
@@ -347,8 +362,7 @@ def _sent(holders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     aligner = _aligner(holders)
     for batch, texts in _texts(batches):
         rows = []
-        for row, text in zip(batch["row"].to_pylist(), texts, strict=True):
-            numbers = aligner.numbers(text)
+        for row, numbers in zip(batch["row"].to_pylist(), aligner.numbers(texts), strict=True):
             pairs = Counter(p for at in numbers or () for p in aligner.links[at])
             rows.append((row, *_described(aligner, numbers), list(pairs), list(pairs.values())))
         kinds = [pa.int64()] * 5 + [pa.string()] + [pa.list_(pa.int64())] * 2
