@@ -358,6 +358,13 @@ SELECT request_id, r.lat, r.lon, r.date, t.value AS value_mg_m3, t.time_utc,
 FROM requests r LEFT JOIN top t USING (request_id)""",
 }
 
+# Other ways to the same rows.
+SQL |= {
+    "box_time_match_tree": SQL["box_time_match"],
+    "asof_by_scan": SQL["asof_latest_valid"],
+    "chlorophyll_by_scan": SQL["chlorophyll_latest"],
+}
+
 
 def _counted(family: str, readings: str) -> str:
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seapoint.functions.geo import haversine_km
 from seapoint.functions.instants import as_hours, hours_interval, local_day_end, to_local
 from seapoint.functions.readings import latest_status
+from seapoint.operators.scan import latest_by_scan
 from seapoint.plans.completion import first_by, per_request
 from seapoint.plans.match import match
 from seapoint.schemas import CHLOROPHYLL_READINGS
@@ -58,11 +59,15 @@ def latest_reading(
     observations: DataFrame,
     product: Product = CHLOROPHYLL,
     on_invalid: str = "raise",
+    by_scan: bool = False,
 ) -> DataFrame:
-    """One latest-value reading per request."""
+    """One latest-value reading per request; ``by_scan`` sorts values and questions of a cell together
+    and pairs no question with an instant, which pays where cells have many instants within the age limit.
+    """
     usable = checked_requests(requests, hours=False, point=True, on_invalid=on_invalid)
     asked = day_questions(usable, product)
-    top = newest_then_nearest(admissible_values(asked, observations, product), POINT_AND_DAY)
+    values = (latest_by_scan if by_scan else admissible_values)(asked, observations, product)
+    top = newest_then_nearest(values, POINT_AND_DAY)
     time_local = to_local(F.col("top.time_utc"), product.tz)
     same_date = F.to_date(time_local) == F.col("date")
     return per_request(usable, asked, top, POINT_AND_DAY).select(
@@ -88,6 +93,7 @@ def chlorophyll_latest(
     observations: DataFrame,
     product: Product = CHLOROPHYLL,
     on_invalid: str = "raise",
+    by_scan: bool = False,
 ) -> DataFrame:
     """Latest chlorophyll reading per request."""
-    return latest_reading(requests, observations, product, on_invalid)
+    return latest_reading(requests, observations, product, on_invalid, by_scan)

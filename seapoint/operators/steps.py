@@ -113,12 +113,17 @@ def rows_by_product(observations: DataFrame) -> DataFrame:
 # ---- matching and cells ------------------------------------------------------------------
 
 
-def matched_rows(requests: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
-    """How many observations, missing ones included, each request's box and window hold."""
+def matched_rows(
+    requests: DataFrame, observations: DataFrame, product: Product, matched=match
+) -> DataFrame:
+    """How many observations, missing ones included, each request's box and window hold.
+
+    ``matched`` finds the pairs: ``match``, or ``match_by_tree`` for crowded archives.
+    """
     requests = as_requests(requests)
     asked = hour_questions(requests, product)
     found = (
-        match(asked, of_product(observations, product), POINT_AND_HOURS)
+        matched(asked, of_product(observations, product), POINT_AND_HOURS)
         .groupBy(*POINT_AND_HOURS)
         .agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("valid"))
     )
@@ -318,12 +323,17 @@ def nearest_cells(requests: DataFrame, observations: DataFrame, product: Product
     )
 
 
-def latest_instants(requests: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
-    """The newest instant per request that has an admissible cell, and its age."""
+def latest_instants(
+    requests: DataFrame, observations: DataFrame, product: Product, values=admissible_values
+) -> DataFrame:
+    """The newest instant per request that has an admissible cell, and its age.
+
+    ``values`` gives the values to choose from: ``admissible_values``, or ``latest_by_scan``.
+    """
     requests = as_requests(requests)
     asked = day_questions(requests, product)
     newest = (
-        admissible_values(asked, observations, product)
+        values(asked, observations, product)
         .groupBy(*POINT_AND_DAY)
         .agg(F.min("age").alias("age"), F.max("time_utc").alias("time_utc"))
     )
