@@ -361,6 +361,7 @@ FROM requests r LEFT JOIN top t USING (request_id)""",
 # Other ways to the same rows.
 SQL |= {
     "box_time_match_tree": SQL["box_time_match"],
+    "cell_max_by_blocks": SQL["cell_temporal_max"],
     "asof_by_scan": SQL["asof_latest_valid"],
     "chlorophyll_by_scan": SQL["chlorophyll_latest"],
 }

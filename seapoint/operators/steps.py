@@ -197,12 +197,17 @@ def _question_maxima(asked: DataFrame, observations: DataFrame, product: Product
     )
 
 
-def cell_maxima(requests: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
-    """Per request and admissible cell: the highest valid value and its first instant."""
+def cell_maxima(
+    requests: DataFrame, observations: DataFrame, product: Product, maxima=_question_maxima
+) -> DataFrame:
+    """Per request and admissible cell: the highest valid value and its first instant.
+
+    ``maxima`` works them out per question: from the instants, or ``maxima_by_blocks``.
+    """
     requests = as_requests(requests)
     asked = hour_questions(requests, product)
-    maxima = _question_maxima(asked, observations, product)
-    return per_request(requests, asked, maxima, POINT_AND_HOURS, "inner").select(
+    found = maxima(asked, observations, product)
+    return per_request(requests, asked, found, POINT_AND_HOURS, "inner").select(
         "request_id", *_CELL, "distance_km", "max_value", "max_time_utc"
     )
 

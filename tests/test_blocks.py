@@ -1,0 +1,111 @@
+"""Maxima from dyadic blocks against those from instants, and how many rows either way meets."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from seapoint.derived import observations, requests_from_orders
+from seapoint.operators import steps
+from seapoint.operators.blocks import (
+    block_table,
+    land_blocks,
+    matched_blocks,
+    maxima_by_blocks,
+    pieces,
+    read_blocks,
+)
+from seapoint.operators.waves import admissible_heights, hour_questions
+from seapoint.sources.products import WAVES
+from seapoint.sources.requests import POINT_AND_HOURS, as_requests
+
+SF = "/root/testdata/sf0.001"
+T0 = datetime(1970, 1, 1)
+
+
+def same(left, right):
+    assert left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0
+
+
+@pytest.mark.parametrize("levels", [0, 2, 5])
+def test_pieces_cover_each_instant_once(spark, levels):
+    rng = random.Random(levels)
+    windows = []
+    for _ in range(300):
+        start = rng.choice((-50, 0, 400_000)) * 3600 * 10**6 + rng.choice((rng.randrange(10**11), 3600 * 10**6 * rng.randrange(40)))
+        length = rng.choice((0, 1, rng.randrange(3600 * 10**6), 3600 * 10**6 * rng.randrange(1, 90) - rng.choice((0, 1, 10**6)), rng.randrange(10**12)))
+        windows.append((start, start + length))
+    rows = [(T0 + timedelta(microseconds=a), T0 + timedelta(microseconds=b), a, b) for a, b in windows]
+    frame = spark.createDataFrame(rows, "f timestamp_ntz, l timestamp_ntz, a long, b long")
+    for r in frame.select("a", "b", pieces(F.col("f"), F.col("l"), levels).alias("p")).collect():
+        hour = 3600 * 10**6
+        spans = []
+        for level, block in r.p:
+            if level < 0:  # instants of this hour inside the window
+                spans.append((max(r.a, block * hour), min(r.b + 1, (block + 1) * hour)))
+            else:
+                spans.append((block * hour << level, (block + 1) * hour << level))
+        spans.sort()
+        assert spans[0][0] == r.a and spans[-1][1] == r.b + 1
+        assert all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+        assert all(sum(p.level == k for p in r.p) <= 2 for k in range(-1, levels))
+
+
+def _dense(spark):
+    """Every six minutes for five days in four cells, with ties, gaps, missing values and odd microseconds."""
+    return spark.range(4 * 1200).select(
+        F.lit(WAVES.dataset_id).alias("dataset_id"),
+        F.lit(WAVES.variable).alias("variable"),
+        (
+            F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+            + F.make_dt_interval(mins=(F.floor(F.col("id") / 4) * 6).cast("int"))
+            + F.when(F.col("id") % 7 == 0, F.make_dt_interval(secs=F.lit(359.999999))).otherwise(F.make_dt_interval())
+        ).alias("time_utc"),
+        F.lit(None).cast("double").alias("depth_m"),
+        (F.lit(-12.46) - (F.col("id") % 2) * 0.01).alias("cell_lat"),
+        (F.lit(-76.78) - F.floor(F.col("id") % 4 / 2) * 0.01).alias("cell_lon"),
+        F.when(F.xxhash64("id") % 5 != 0, F.pmod(F.xxhash64("id"), F.lit(50)) / 10.0).alias("value"),
+    )
+
+
+def _asked(spark):
+    requests = spark.range(200).select(
+        F.col("id").alias("request_id"),
+        F.lit(-12.471).alias("lat"),
+        F.lit(-76.79).alias("lon"),
+        F.date_add(F.lit("2024-01-02").cast("date"), (F.col("id") % 8).cast("int")).alias("date"),
+        (F.col("id") % 12).cast("int").alias("hour_start"),
+        (F.col("id") % 12 + F.floor(F.col("id") / 17)).cast("int").alias("hour_end"),
+    )
+    return as_requests(requests)
+
+
+def test_dense_cells(spark):
+    seen, requests = _dense(spark), _asked(spark)
+    plain = steps.cell_maxima(requests, seen, WAVES)
+    same(steps.cell_maxima(requests, seen, WAVES, maxima_by_blocks), plain)
+    assert plain.count() > 300
+    # Rows that meet: at most two blocks of each size and the instants of two partial hours, per cell.
+    asked = hour_questions(requests, WAVES)
+    by_instants = admissible_heights(asked, seen, WAVES).count()
+    by_blocks = matched_blocks(asked, block_table(seen, WAVES), POINT_AND_HOURS).count()
+    assert by_blocks * 4 < by_instants
+
+
+def test_landed_blocks(spark, tmp_path):
+    seen, requests = observations(spark, SF, "waves"), requests_from_orders(spark, SF)
+    land_blocks(seen, WAVES, str(tmp_path / "blocks"))
+    asked = hour_questions(as_requests(requests), WAVES)
+    landed = maxima_by_blocks(asked, seen, WAVES, read_blocks(spark, str(tmp_path / "blocks")))
+    same(landed, maxima_by_blocks(asked, seen, WAVES))
+    same(landed, steps._question_maxima(asked, seen, WAVES))
+    assert maxima_by_blocks(asked, seen.limit(0), WAVES).count() == 0
+
+
+def test_plan(spark):
+    asked = hour_questions(as_requests(requests_from_orders(spark, SF)), WAVES)
+    plan = maxima_by_blocks(asked, observations(spark, SF, "waves"), WAVES)._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("BroadcastNestedLoopJoin", "CartesianProduct", "SinglePartition", "Python", "Window", "collect_"):
+        assert unwanted not in plan
+    assert "partial_min(top" in plan
