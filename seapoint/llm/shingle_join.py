@@ -10,13 +10,13 @@ many bits as the sets do, so a similarity of at least ``PERCENT`` bounds their H
   bounds what they can share; and a dense sketch of ``DENSE_BITS`` bits gives a lower bound of the symmetric difference by ``bit_count`` alone.
 - *Verify.* The exact similarity of the shingle sets of both whole texts.
 
-Groups are never unfolded into pairs. Equal sets are one class from the start. Then every class is verified against
-one pivot of its groups, twice, and connected components are formed; after that only classes of *different* components that
+Vertices are the distinct sets: equal ones are one vertex from the start, whatever their ids. Then every vertex is verified against
+one pivot of its groups, twice, and connected components are formed; after that only vertices of *different* components that
 share a position are still compared, which completes the components: a pair inside one component needs no link of its own.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing; a text of fewer words
 than a shingle is one shingle; a row with a null ``doc_id`` links with nothing and has no component; rows that repeat a
-``doc_id`` are one vertex and each row's text counts; other columns are not looked at.
+``doc_id`` with different texts join the components of all these texts, as the id is one document; other columns are not looked at.
 Shingles are told apart by 64-bit hashes.
 """
 
@@ -72,14 +72,19 @@ def _rows(documents: DataFrame) -> DataFrame:
     )
 
 
+def _vertices(rows: int, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row's whole set: rows with equal sets are one vertex, whatever their ids."""
+    sums = [np.zeros(rows, np.uint64) for _ in range(2)]
+    for total, values in zip(sums, (mixed(hashes), mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))), strict=True):
+        np.add.at(total, owner, values)
+    return signed(mixed(sums[0] ^ mixed(sums[1])))
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: set size, two fingerprints of the whole set, and the dense sketch."""
+    """Per row: set size, vertex and dense sketch."""
     for batch, texts in slices(batches):
         owner, hashes = shingle_sets(texts)
         n = np.bincount(owner, minlength=len(texts))
-        sums = [np.zeros(len(texts), np.uint64) for _ in range(2)]
-        for total, values in zip(sums, (mixed(hashes), mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))), strict=True):
-            np.add.at(total, owner, values)
         width = DENSE_BITS // 64
         dense = np.zeros(len(texts) * width, np.uint64)
         place = hashes & np.uint64(DENSE_BITS - 1)
@@ -89,10 +94,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column(0),
                 pa.array(n.astype(np.int64)),
-                *[pa.array(signed(x)) for x in sums],
+                pa.array(_vertices(len(texts), owner, hashes)),
                 pa.ListArray.from_arrays(offsets, pa.array(signed(dense))),
             ],
-            names=["doc_id", "n", "f1", "f2", "dense"],
+            names=["doc_id", "n", "vertex", "dense"],
         )
 
 
@@ -102,6 +107,7 @@ def _positions(bits: int, late: np.ndarray | None, whole: bool):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             owner, hashes = shingle_sets(texts)
+            names = _vertices(len(texts), owner, hashes)
             place = hashes >> np.uint64(64 - bits)
             ordinal = np.zeros(len(owner), np.int64)
             if not whole:
@@ -115,9 +121,8 @@ def _positions(bits: int, late: np.ndarray | None, whole: bool):
                 ordinal = np.arange(len(owner)) - start[owner]
                 first = ordinal < prefix_length(n)[owner]
                 owner, place, ordinal = owner[first], place[order][first], ordinal[first]
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(place)), pa.array(keys[owner], pa.int64()), pa.array(ordinal.astype(np.int32))],
+                [pa.array(signed(place)), pa.array(names[owner]), pa.array(ordinal.astype(np.int32))],
                 names=["place", "doc", "ordinal"],
             )
 
@@ -128,7 +133,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch, texts in slices(batches):
         packed = pa.array([packer.compress(t or b"") for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["doc", "packed"])
+        names = _vertices(len(texts), *shingle_sets(texts))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), packed], names=["doc_id", "doc", "packed"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,43 +207,34 @@ def link_documents(documents: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame) -> DataFrame:
-    described = staged(
-        rows.mapInArrow(_describe, "doc_id long, n long, f1 long, f2 long, dense array<long>"), "sets"
-    )
+    described = staged(rows.mapInArrow(_describe, "doc_id long, n long, vertex long, dense array<long>"), "sets")
     counted = described.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     # Positions enough that two different shingles hardly ever share one, so 14 bits beyond their number.
     bits = min(63, max(32, int(counted.n or 1).bit_length() + 14))
-    late = rows.sparkSession.sparkContext.broadcast(_late_positions(rows.filter("doc_id IS NOT NULL"), counted.rows, bits))
+    rows = rows.filter("doc_id IS NOT NULL")
+    late = rows.sparkSession.sparkContext.broadcast(_late_positions(rows, counted.rows, bits))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _positions(bits, late.value, False)(batches)
 
-    # Equal sets: one class, named by its least id.
+    # Equal sets are one vertex; one of its rows, that of the least id, shows its text.
     usable = described.filter("doc_id IS NOT NULL AND n > 0")
-    classes = staged(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).filter("m > 1"), "classes")
-    copies = staged(
-        usable.join(classes, ["n", "f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies"
-    )
-
-    places = rows.filter("doc_id IS NOT NULL").mapInArrow(emit, "place long, doc long, ordinal int")
+    shown = staged(usable.groupBy(F.col("vertex").alias("doc")).agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "shown")
+    places = rows.mapInArrow(emit, "place long, doc long, ordinal int")
     met = staged(
         places.groupBy("place").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("place"), "places"
     )
     with scratch(rows.sparkSession) as kept:
-        groups = staged(
-            places.join(met, "place")
-            .join(copies, "doc", "left")
-            .groupBy("place", F.coalesce("rep", "doc").alias("doc"))
-            .agg(F.first("ordinal").alias("ordinal")),
-            "groups",
-        )
-        grouped = staged(groups.select("doc").distinct(), "grouped")
-        facts = kept(usable.select(F.col("doc_id").alias("doc"), "n", "dense").join(grouped, "doc", "left_semi").distinct(), "facts")
-        packed = rows.filter("doc_id IS NOT NULL").mapInArrow(_pack, "doc long, packed binary")
-        texts = kept(packed.join(grouped, "doc", "left_semi"), "packed")
-        groups = kept(groups.join(facts.select("doc", "n"), "doc"), "sized")
-
-    edges = copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+        groups = staged(places.join(met, "place").groupBy("place", "doc").agg(F.min("ordinal").alias("ordinal")), "groups")
+        grouped = staged(groups.select("doc").distinct().join(shown, "doc"), "grouped")
+        # Rows that repeat both id and text show the same.
+        sketches = usable.select("doc_id", F.col("vertex").alias("doc"), "dense").join(grouped, ["doc", "doc_id"])
+        facts = kept(sketches.select("doc", "n", "dense").dropDuplicates(["doc"]), "facts")
+        packed = rows.mapInArrow(_pack, "doc_id long, doc long, packed binary")
+        texts = kept(packed.join(grouped.select("doc", "doc_id"), ["doc", "doc_id"]).select("doc", "packed").dropDuplicates(["doc"]), "packed")
+        groups = kept(groups.join(grouped.select("doc", "n"), "doc"), "sized")
+
+    edges = groups.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
     component = staged(connected_components(edges), "components")
     spark = rows.sparkSession
     tested = None
@@ -245,7 +242,7 @@ def _linked(rows: DataFrame) -> DataFrame:
         with scratch(spark) as kept:
             open_groups = _open(groups, component)
             pivots = staged(open_groups.groupBy("place").agg((F.min if least else F.max)(F.struct("doc", "component", "n", "ordinal")).alias("pivot")), "pivots")
-            # One pivot for each class: the one that it shares most positions with.
+            # One pivot for each vertex: the one that it shares most positions with.
             stars = (
                 open_groups.join(pivots, "place")
                 .select("doc", "component", "pivot", F.struct("n", "ordinal").alias("own"))
@@ -261,7 +258,7 @@ def _linked(rows: DataFrame) -> DataFrame:
             edges = edges.unionByName(kept(_similar(pairs, texts), "similar"))
             component = kept(connected_components(edges), "components")
 
-    # What is left: classes that share a position but not a component.
+    # What is left: vertices that share a position but not a component.
     with scratch(spark) as kept:
         open_groups = _open(groups, component)
         pivots = staged(open_groups.groupBy("place").agg(F.min_by("component", "doc").alias("main")), "pivots")
@@ -277,8 +274,33 @@ def _linked(rows: DataFrame) -> DataFrame:
     last = staged(_screened(staged(last.join(tested, ["a", "b"], "left_anti"), "near"), facts), "pairs")
     edges = edges.unionByName(staged(_similar(last, texts), "similar"))
     component = staged(connected_components(edges), "components")
-    return described.join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    return _named(described, usable, component)
+
+
+def _named(described: DataFrame, usable: DataFrame, component: DataFrame) -> DataFrame:
+    """From components of texts to those of documents: an id that several texts carry joins them."""
+    vertices = usable.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
+    labels = staged(
+        vertices.join(component, "vertex", "left").select("vertex", "doc_id", F.coalesce("component", "vertex").alias("label")), "labels"
+    )
+    several = usable.groupBy("doc_id").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).filter("low < high")
+    carried = (
+        usable.select("doc_id", "vertex").distinct().join(several.select("doc_id"), "doc_id").join(labels.select("vertex", "label"), "vertex")
+    )
+    carried = staged(carried.select("doc_id", "label").distinct(), "carried")
+    first = carried.groupBy("doc_id").agg(F.min("label").alias("b"))
+    joined = staged(connected_components(carried.join(first, "doc_id").select(F.col("label").alias("a"), "b")), "joined")
+    named = labels.join(joined.select(F.col("vertex").alias("label"), "component"), "label", "left").select(
+        "vertex", "doc_id", F.coalesce("component", "label").alias("label")
+    )
+    named = staged(named, "named")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    ends = named.join(least, "label").select("vertex", "component_id")
+    # One answer for each id, also for those of its rows that have no words.
+    documents = usable.groupBy("doc_id").agg(F.min("vertex").alias("vertex"))
+    answers = staged(documents.join(ends, "vertex").select("doc_id", "component_id"), "answers")
+    return described.join(answers, "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
@@ -302,12 +324,14 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     Rows with a null ``doc_id`` stay. Of rows that repeat a ``doc_id`` one stays.
     """
     found = link_documents(documents)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = documents.join(staged(gone, "gone"), documents["doc_id"] == F.col("gone_id"), "left_anti")
-    repeated = staged(
-        found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id")), "again"
-    )
+    name = "gone_id"
+    while name in documents.columns:
+        name += "_"
+    gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    kept = documents.join(gone, documents["doc_id"] == F.col(name), "left_anti")
+    counted = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = staged(counted.filter("n > 1").select(F.col("doc_id").alias(name)), "again")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, kept["doc_id"] == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept["doc_id"] == F.col("again_id"), "left_anti").unionByName(again)
+    again = kept.join(repeated, kept["doc_id"] == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, kept["doc_id"] == F.col(name), "left_anti").unionByName(again)

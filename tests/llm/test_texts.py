@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -120,6 +121,26 @@ def test_link_documents(corpus, nothing):
     assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted({c for _, _, c in want if c is not None})
 
 
+def test_links_of_repeated_ids(spark, corpus):
+    """An id with several texts links through each of them; near misses don't; exactly 75 % does; clashing columns don't matter."""
+    rng = random.Random(11)
+    say = lambda n: [f"v{rng.randrange(900)}" for _ in range(n)]
+    t1, t2, template = say(80), say(80), say(120)
+    rows = [(1, " ".join(t1)), (2, " ".join(t1)), (2, " ".join(t2)), (3, " ".join(t2[:78] + ["x", "y"])), (2, None)]
+    # 96 and 72 shingles, 72 shared: exactly 75 %; with 71 it is less.
+    exact = say(100)
+    rows += [(10, " ".join(exact)), (11, " ".join(exact[:76])), (12, " ".join(exact[:75]))]
+    rows += [(20 + i, " ".join(w if k % 17 or rng.random() < 0.3 else f"n{i}" for k, w in enumerate(template))) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", "y") for i, t in rows], corpus.schema)
+    _, root = _linked(rows)
+    got = {(r.doc_id, r.component_id) for r in link_documents(docs).collect()}
+    assert got == {(i, root(i)) for i, _ in rows}
+    assert root(3) == 1 and root(11) == 10 and root(12) == 10 and len({root(20 + i) for i in range(40)}) > 3
+    clash = docs.withColumn("gone_id", F.lit(1)).withColumn("again_id", F.lit(2))
+    kept = one_of_each(clash)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {root(i) for i, _ in rows}
+
+
 def test_scores(corpus, nothing):
     rows = [(r.doc_id, _words(r.text)) for r in corpus.collect()]
     for order in (2, 3):
