@@ -28,6 +28,7 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,12 @@ class Aligner:
             if "▁" in piece.lstrip("▁"):
                 raise ValueError(f"piece {i} has a space inside, so texts can't be cut at spaces")
             self._b_bytes.append(bytes([int(piece[1:-1], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode())
+        ids_a = range(max(self._a_bytes) + 1)
+        self._a_sizes = np.array([len(self._a_bytes.get(i, b"")) for i in ids_a])
+        self._b_sizes = np.array([len(x) for x in self._b_bytes])
+        # Each id as text with what may follow it in the text of groups.
+        self._a_text = {end: np.array([f"{i}{end}" for i in ids_a], object) for end in ",|"}
+        self._b_text = {end: np.array([f"{i}{end}" for i in range(len(self._b_bytes))], object) for end in ",;\n"}
         self._space = self._b.piece_to_id("▁")
         self.forget()
 
@@ -83,48 +90,62 @@ class Aligner:
         self.number: dict[str, int] = {}
         self.bad: set[int] = set()
         self.groups: list[str] = []
-        self.sizes: list[tuple[int, int, int]] = []
-        self.links: list[tuple[int, ...]] = []
-
-    def align(self, texts: list[str]) -> Iterator[tuple[str, tuple[int, int, int], tuple[int, ...]] | None]:
-        """For each text: groups as text; numbers of first and second tokens and of groups; the linked pairs (both ids in one number)."""
-        spelled = [" " + t for t in texts]
+        self._sizes, self._links = [np.zeros((3, 0), np.int64)], [np.zeros(0, np.uint64)]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """Numbers of first and second tokens and of groups (so of links) of each chunk."""
+        if len(self._sizes) > 1:
+            self._sizes = [np.concatenate(self._sizes, axis=1)]
+        return self._sizes[0]
+
+    @property
+    def links(self) -> np.ndarray:
+        """The linked pairs of all chunks, one chunk after another; both ids in one number."""
+        if len(self._links) > 1:
+            self._links = [np.concatenate(self._links)]
+        return self._links[0]
+
+    def align(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: groups as text; numbers of tokens and groups; all linked pairs; and whether it has tokens."""
+        whole = [(" " + t).encode() for t in texts]
+        a = [x.ids for x in self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         # The second tokenizer puts its space before any text but an empty one.
-        second = [b or [self._space] for b in self._b.encode(texts, num_threads=1)]
-        for text, first, b in zip(spelled, self._a.encode_batch_fast(spelled, add_special_tokens=False), second, strict=True):
-            a, whole = first.ids, text.encode()
-            if b"".join(map(self._a_bytes.__getitem__, a)) != whole or b"".join(map(self._b_bytes.__getitem__, b)) != whole:
-                yield None
-                continue
-            groups, links, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-            end_a, end_b = len(self._a_bytes[a[0]]), len(self._b_bytes[b[0]])
-            while True:
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(self._a_bytes[a[i]])
-                elif end_b < end_a:
-                    j += 1
-                    end_b += len(self._b_bytes[b[j]])
-                else:
-                    links.append(a[i] << 32 | b[j])
-                    i, j = i + 1, j + 1
-                    groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                    from_i, from_j = i, j
-                    if i == len(a):
-                        break
-                    end_a += len(self._a_bytes[a[i]])
-                    end_b += len(self._b_bytes[b[j]])
-            yield ";".join(groups), (len(a), len(b), len(groups)), tuple(links)
+        b = [x or [self._space] for x in self._b.encode(texts, num_threads=1)]
+        good = np.ones(len(texts), bool)
+        if b"".join(map(self._a_bytes.__getitem__, chain.from_iterable(a))) != (joined := b"".join(whole)) or b"".join(
+            map(self._b_bytes.__getitem__, chain.from_iterable(b))
+        ) != joined:
+            for i, text in enumerate(whole):
+                good[i] = b"".join(map(self._a_bytes.__getitem__, a[i])) == text == b"".join(map(self._b_bytes.__getitem__, b[i]))
+                if not good[i]:
+                    a[i], b[i] = [], []
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        # All texts behind one another: their ends are ends of both kinds of tokens.
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        ends_a, ends_b = np.cumsum(self._a_sizes[ids_a]), np.cumsum(self._b_sizes[ids_b])
+        cuts, in_a, in_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        last_b = np.cumsum(n_b)[good] - 1
+        n_groups = np.zeros(len(texts), np.int64)
+        n_groups[good] = np.diff(np.searchsorted(cuts, ends_b[last_b], side="right"), prepend=0)
+        text_a, text_b = self._a_text[","][ids_a], self._b_text[","][ids_b]
+        text_a[in_a], text_b[in_b] = self._a_text["|"][ids_a[in_a]], self._b_text[";"][ids_b[in_b]]
+        text_b[last_b] = self._b_text["\n"][ids_b[last_b]]
+        # First tokens of a group, then its second ones.
+        place = np.concatenate([2 * np.searchsorted(in_a, np.arange(len(ids_a))), 2 * np.searchsorted(in_b, np.arange(len(ids_b))) + 1])
+        lines = iter("".join(np.concatenate([text_a, text_b])[np.argsort(place, kind="stable")]).split("\n"))
+        groups = [next(lines) if g else "" for g in good.tolist()]
+        links = ids_a[in_a].astype(np.uint64) << np.uint64(32) | ids_b[in_b].astype(np.uint64)
+        return groups, np.stack([n_a, n_b, n_groups]), links, good
 
     def _add(self, new: list[str]) -> None:
-        for chunk, found in zip(new, self.align(new), strict=True):
-            if found is None:
-                self.bad.add(len(self.groups))
-            self.number[chunk] = len(self.groups)
-            text, sizes, links = found or ("", (0, 0, 0), ())
-            self.groups.append(text)
-            self.sizes.append(sizes)
-            self.links.append(links)
+        groups, sizes, links, good = self.align(new)
+        start = len(self.groups)
+        self.number.update(zip(new, range(start, start + len(new))))
+        self.bad.update((np.flatnonzero(~good) + start).tolist())
+        self.groups += groups
+        self._sizes.append(sizes)
+        self._links.append(links)
 
     def numbers(self, texts: list[str]) -> list[list[int] | None]:
         """The numbers of each text's chunks; None if it has no tokens."""
@@ -242,14 +263,15 @@ def _counted(holders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     counts: Counter[int] = Counter()
 
     def given() -> pa.RecordBatch:
-        pairs: Counter[int] = Counter()
-        for at, n in counts.items():
-            for pair in aligner.links[at]:
-                pairs[pair] += n
+        times = np.zeros(len(aligner.groups), np.int64)
+        times[list(counts)] = list(counts.values())
+        times = np.repeat(times, aligner.sizes[2])
+        pairs, at = np.unique(aligner.links, return_inverse=True)
+        n = np.zeros(len(pairs), np.int64)
+        np.add.at(n, at, times)
         counts.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(pairs), task)), pa.array(list(pairs), pa.int64()), pa.array(list(pairs.values()), pa.int64())],
-            names=["task", "pair", "n"],
+            [pa.array(np.full(int((n > 0).sum()), task)), pa.array(signed(pairs[n > 0])), pa.array(n[n > 0])], names=["task", "pair", "n"]
         )
 
     for _, texts in _texts(batches):
@@ -306,9 +328,9 @@ def _described(aligner: Aligner, numbers: list[int] | None) -> tuple:
     """Numbers of tokens, groups and links, and the digest."""
     if numbers is None:
         return 0, 0, 0, 0, ""
-    n_a, n_b, n_groups = map(sum, zip(*map(aligner.sizes.__getitem__, numbers)))
+    n_a, n_b, n_groups = aligner.sizes[:, numbers].sum(axis=1).tolist()
     digest = hashlib.sha256(";".join(map(aligner.groups.__getitem__, numbers)).encode()).hexdigest()
-    return n_a, n_b, n_groups, sum(map(len, map(aligner.links.__getitem__, numbers))), digest
+    return n_a, n_b, n_groups, n_groups, digest
 
 
 def _arrays(kinds, rows: list[tuple]) -> list[pa.Array]:
@@ -326,9 +348,10 @@ def _looked_up(holders, lookup, batches: Iterator[pa.RecordBatch]) -> Iterator[p
     found = np.zeros((3, 0), np.int64)
 
     def filled(found: np.ndarray) -> np.ndarray:
-        links = aligner.links[found.shape[1] :]
-        owner = np.repeat(np.arange(len(links)), [len(x) for x in links])
-        pairs = np.fromiter((p for x in links for p in x), np.uint64, len(owner))
+        sizes = aligner.sizes[2]
+        new = sizes[found.shape[1] :]
+        owner = np.repeat(np.arange(len(new)), new)
+        pairs = aligner.links[int(sizes[: found.shape[1]].sum()) :]
         n = np.zeros(len(pairs), np.int64)
         bucket = bucket_of(pairs, held["buckets"])
         for b in np.unique(bucket):
@@ -338,7 +361,7 @@ def _looked_up(holders, lookup, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                 n[here[at >= 0]] = held["sums"][b][at[at >= 0]]
         second = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         top = n == held["best"][np.minimum(second, len(held["best"]) - 1)]
-        more = np.zeros((3, len(links)), np.int64)
+        more = np.zeros((3, len(new)), np.int64)
         for sums, values in zip(more, (top, n, n == 0), strict=True):
             np.add.at(sums, owner, values)
         return np.concatenate([found, more], axis=1)
@@ -362,9 +385,12 @@ def _sent(holders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     aligner = _aligner(holders)
     for batch, texts in _texts(batches):
         rows = []
-        for row, numbers in zip(batch["row"].to_pylist(), aligner.numbers(texts), strict=True):
-            pairs = Counter(p for at in numbers or () for p in aligner.links[at])
-            rows.append((row, *_described(aligner, numbers), list(pairs), list(pairs.values())))
+        every = aligner.numbers(texts)
+        starts = np.concatenate([[0], np.cumsum(aligner.sizes[2])])
+        for row, numbers in zip(batch["row"].to_pylist(), every, strict=True):
+            links = np.concatenate([aligner.links[starts[at] : starts[at + 1]] for at in numbers]) if numbers else np.zeros(0, np.uint64)
+            pairs, times = np.unique(links, return_counts=True)
+            rows.append((row, *_described(aligner, numbers), pairs.tolist(), times.tolist()))
         kinds = [pa.int64()] * 5 + [pa.string()] + [pa.list_(pa.int64())] * 2
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *_arrays(kinds, rows)], names=["doc_id", "row", *COUNTS, "groups_sha256", "pairs", "times"])
         if len(aligner.groups) >= MOST_CHUNKS:
