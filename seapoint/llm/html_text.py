@@ -10,6 +10,10 @@ range all but furniture is kept, short lines and linked ones too, and so are few
 A page that marks its article (``article``, ``main``) is taken by the mark: all but furniture inside it. Where it has both, ``article``
 counts if it holds at least half of the text that ``main`` and ``article`` hold, else both do.
 
+What is furniture: elements for it, hidden ones, and those whose class, role or label has a word for it. Inside an article a class or
+role counts only as a whole (``share``, ``comment-list``, ``ad-slot-2``, but not ``share-price``), an id only if it names reader
+comments, as ids are slugs of headings elsewhere; outside an article an id counts only as a whole. A heading is never furniture by its names.
+
 Defined cases: null or empty html gives an empty text; a tag that is never closed lasts to the end
 of what holds it; a page without any line dense enough keeps the range of all its lines of text, and one of links alone
 keeps them; a repeated row gives a row each time; other columns are not looked at.
@@ -49,7 +53,14 @@ _HINT = re.compile(
 )
 # Those that make even an article no part of the main one.
 _FOREIGN = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respond|ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|related|recommend(?:ed|ations)?)(?=$|[\s_-])")
-_HINT_ATTRIBUTES = re.compile(r"""(?i)(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# Those that count in an id, even inside an article.
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments|respond|replies|disqus)(?=$|[\s_-])")
+# Words of a layout that may stand beside those in a class, as in comment-list or ad-slot-2.
+_LAYOUT = frozenset(
+    "area articles bar block body box btn button buttons card cards container content cta feed form inline inner item items left link links list "
+    "module outer panel posts right row section slot stories story thread top bottom unit widget wrap wrapper".split()
+)
+_HINT_ATTRIBUTES = re.compile(r"""(?i)(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?=\s|/|$|=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)""",
@@ -59,12 +70,34 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("s
 _SPACE = re.compile(r"\s+")
 
 
-def _is_furniture(attributes: str, hints: re.Pattern) -> bool:
+def _is_whole_hint(name: str, hints: re.Pattern) -> bool:
+    """Whether all parts of one class or id are hints or words of a layout, and one is a hint."""
+    parts = [p for p in re.split(r"[_-]+", name) if p and not p.isdigit()]
+    known = [bool(hints.search(p)) for p in parts]
+    return bool(hints.fullmatch(name)) or any(known) and all(k or p in _LAYOUT for k, p in zip(known, parts, strict=True))
+
+
+def _is_furniture(attributes: str, hints: re.Pattern, in_article: bool) -> bool:
+    """Whether attributes say so. Ids are often made of a heading's own words, and so are classes inside an article: a
+    word among others tells nothing there, only whole names do.
+    """
     if not attributes:
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(hints.search((a or b or c).lower()) for a, b, c in _HINT_ATTRIBUTES.findall(attributes))
+    for attribute, a, b, c in _HINT_ATTRIBUTES.findall(attributes):
+        name, value = attribute.lower(), (a or b or c).lower().strip()
+        if name == "id" and in_article:
+            found = _is_whole_hint(value, _COMMENTS)
+        elif name == "id":
+            found = _is_whole_hint(value, hints)
+        elif in_article:
+            found = any(_is_whole_hint(x, hints) for x in ([value] if name == "aria-label" else value.split()))
+        else:
+            found = bool(hints.search(value))
+        if found:
+            return True
+    return False
 
 
 def _lines(page: str) -> list[tuple[str, int, bool, int]]:
@@ -148,7 +181,12 @@ def _lines(page: str) -> list[tuple[str, int, bool, int]]:
         attributes = token[3] or ""
         inside = max(article, _ARTICLE.get(name, 0))
         is_header_of_article = name == "header" and article
-        furniture = furniture or (name in _FURNITURE and not is_header_of_article) or (name not in ("html", "body") and _is_furniture(attributes, _FOREIGN if name in _ARTICLE else _HINT))
+        if name in _HEADING:
+            # A heading says what its text is; its names are made of its words.
+            hinted = bool(_HIDDEN.search(attributes))
+        else:
+            hinted = name not in ("html", "body") and _is_furniture(attributes, _FOREIGN if name in _ARTICLE else _HINT, article > 0)
+        furniture = furniture or (name in _FURNITURE and not is_header_of_article) or hinted
         stack.append((name, furniture, inside, link or name == "a"))
     flush()
     return lines

@@ -113,3 +113,36 @@ def test_languages_that_were_not_learned(spark):
         learned = docs.filter(docs.lang.isin(known))
         kept = [r.doc_id for r in with_known_language(learned.unionByName(other, allowMissingColumns=True)).select("doc_id").collect()]
         assert sorted(kept) == sorted(r.doc_id for r in learned.collect())
+
+
+@pytest.mark.parametrize(
+    "part, kept",
+    [
+        ('<h2 id="search-algorithms">Search algorithms</h2>', "Search algorithms"),
+        ('<h2 id="related-work" class="comments">Related work</h2>', "Related work"),
+        ('<section id="legal-basis"><p>Kept.</p></section>', "Kept."),
+        ('<section id="legal"><h3>Legal</h3><p>Kept.</p></section>', "Legal\nKept."),
+        ('<div class="share-price"><p>Kept 12.5</p></div>', "Kept 12.5"),
+        ('<p class="menu-of-the-day">Kept soup.</p>', "Kept soup."),
+        ('<h2 hidden>gone</h2>', ""),
+        ('<div class="ad">gone</div>', ""),
+        ('<div class="advert-box">gone</div>', ""),
+        ('<div class="ad-slot-2">gone</div>', ""),
+        ('<div class="comment-list"><p>gone</p></div>', ""),
+        ('<section id="comments"><p>gone</p></section>', ""),
+        ('<div class="newsletter-signup">gone</div>', ""),
+        ('<ul class="wide share-buttons"><li>gone</li></ul>', ""),
+        ('<div role="navigation">gone</div>', ""),
+        ('<div class="cookie-notice">gone</div>', ""),
+    ],
+)
+def test_names_inside_an_article(part, kept):
+    """Headings and ids made of their words stay; boxes named as a whole go."""
+    page = f"<body><nav>Home</nav><article><p>Body text.</p>{part}<p>The end.</p></article></body>"
+    assert main_text(page) == "\n".join(x for x in ("Body text.", kept, "The end.") if x)
+
+
+def test_ids_on_a_page_without_marks():
+    text = "A paragraph that is long enough to be the beginning of the text of this page without marks."
+    page = f'<body><div id="menu">Home</div><div><p>{text}</p><h2 id="search-basics">Search basics</h2><p id="related-work">Kept.</p></div></body>'
+    assert main_text(page) == f"{text}\nSearch basics\nKept."
