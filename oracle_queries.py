@@ -363,6 +363,8 @@ SQL |= {
     "box_time_match_tree": SQL["box_time_match"],
     "cell_max_by_blocks": SQL["cell_temporal_max"],
     "asof_by_scan": SQL["asof_latest_valid"],
+    "cell_coverage_by_scan": SQL["cell_coverage_rank"],
+    "nearest_outside_by_scan": SQL["nearest_outside_sample"],
     "chlorophyll_by_scan": SQL["chlorophyll_latest"],
 }
 

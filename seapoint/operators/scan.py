@@ -53,7 +53,7 @@ def near_cells(
     )
 
 
-def _stretch(time_utc: Column, reach_hours: float) -> Column:
+def stretch_of(time_utc: Column, reach_hours: float) -> Column:
     """The number of the stretch of ``reach_hours`` that an instant lies in."""
     since = time_utc - F.lit("1970-01-01").cast("timestamp_ntz")
     return F.floor(since.cast("interval second").cast("decimal(18,6)") / F.lit(reach_hours * 3600.0))
@@ -63,7 +63,7 @@ def carried(wanted: DataFrame, values: DataFrame, keys: list[str], reach_hours:
     """The rows of ``wanted(keys, time_utc)``, which are distinct, with ``seen``: the last ``(time_utc, value)`` of their key, not after them
     and at most ``reach_hours`` old, or NULL. Of several values at one instant the smallest one counts.
     """
-    own = _stretch(F.col("time_utc"), reach_hours)
+    own = stretch_of(F.col("time_utc"), reach_hours)
     seen = values.select(
         *keys,
         "time_utc",

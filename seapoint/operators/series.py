@@ -7,7 +7,7 @@ Rules, per question:
   * without any, one valid instant outside the window, at most the offset limit away: smallest
     offset, before rather than after, then the nearest cell.
 
-All of it comes from one match and three aggregates. The first folds depth levels, the second the
+All of it comes from one match and four aggregates. The first two fold depth levels, the next the
 rows of a question by level and cell: that is at most the instants of a day and a few hours. The
 third picks among the cells of one box by struct minimum, with the level in front, so that only the shallowest level
 can win, and "nothing usable here" right behind it.
@@ -54,22 +54,15 @@ def classified(asked: DataFrame, observations: DataFrame, product: Product) -> D
     """
     reach = hours_interval(product.max_offset_h)
     start, end = F.col("first_utc") + reach, F.col("last_utc") - reach
-    valid_depth = F.when(F.col("value").isNotNull(), F.col("depth_m"))
-    # Depth, then value: a total order, should a coordinate come with two values.
-    valid_order = F.when(F.col("value").isNotNull(), F.struct("depth_m", "value"))
+    instant = (*JOIN_KEYS, *POINT_AND_HOURS, "first_utc", "last_utc", "time_utc", "cell_lat", "cell_lon")
+    # The smaller of two values on one coordinate first: then a level has one value, and plain
+    # numbers are all that either buffer holds, so both steps are hash aggregates.
     shallowest = (
         match(asked, of_product(observations, product), POINT_AND_HOURS)
-        .groupBy(
-            *JOIN_KEYS, *POINT_AND_HOURS, "first_utc", "last_utc", "time_utc", "cell_lat", "cell_lon"
-        )
-        .agg(
-            F.min("depth_m").alias("depth_m"),
-            F.min(valid_depth).alias("valid_depth"),
-            F.min_by("value", valid_order).alias("shallowest_value"),
-        )
-        .withColumn(
-            "value", F.when(F.col("valid_depth") == F.col("depth_m"), F.col("shallowest_value"))
-        )
+        .groupBy(*instant, "depth_m")
+        .agg(F.min("value").alias("value"))
+        .groupBy(*instant)
+        .agg(F.min_by("value", "depth_m").alias("value"), F.min("depth_m").alias("depth_m"))
     )
     return (
         shallowest.withColumn("offset", time_outside(F.col("time_utc"), start, end))

@@ -4,6 +4,8 @@ They share the match, the filters and the orders with the readings, and serve to
 reading: which cells were admissible, which instants counted, what was outside the window.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,16 +272,27 @@ def instants_by_window(requests: DataFrame, observations: DataFrame, product: Pr
     )
 
 
-def _answers(requests: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
+def _question_answers(asked: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
+    return by_question(by_level_and_cell(classified(asked, observations, product), product))
+
+
+def _answers(
+    requests: DataFrame, observations: DataFrame, product: Product, answers: Callable
+) -> DataFrame:
     asked = widened_questions(requests, product)
-    answers = by_question(by_level_and_cell(classified(asked, observations, product), product))
-    return per_request(requests, asked, answers, POINT_AND_HOURS, "inner")
+    found = answers(asked, observations, product)
+    return per_request(requests, asked, found, POINT_AND_HOURS, "inner")
+
 
+def best_covered_cell(
+    requests: DataFrame, observations: DataFrame, product: Product, answers=_question_answers
+) -> DataFrame:
+    """The cell with most valid in-window instants (then nearest), where a request has one.
 
-def best_covered_cell(requests: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
-    """The cell with most valid in-window instants (then nearest), where a request has one."""
+    ``answers`` works it out per question: from the pairs, or ``answers_by_scan``.
+    """
     return (
-        _answers(as_requests(requests), observations, product)
+        _answers(as_requests(requests), observations, product, answers)
         .where(~F.col("inside.is_void"))
         .select(
             "request_id",
@@ -291,10 +304,15 @@ def best_covered_cell(requests: DataFrame, observations: DataFrame, product: Pro
     )
 
 
-def nearest_outside(requests: DataFrame, observations: DataFrame, product: Product) -> DataFrame:
-    """The valid sample outside the window with the smallest offset, where a request has one."""
+def nearest_outside(
+    requests: DataFrame, observations: DataFrame, product: Product, answers=_question_answers
+) -> DataFrame:
+    """The valid sample outside the window with the smallest offset, where a request has one.
+
+    ``answers`` works it out per question: from the pairs, or ``answers_by_scan``.
+    """
     return (
-        _answers(as_requests(requests), observations, product)
+        _answers(as_requests(requests), observations, product, answers)
         .where(~F.col("outside.is_void"))
         .select(
             "request_id",

@@ -186,3 +186,11 @@ def test_levels_fold_inside_the_shuffled_match(spark):
     assert not any("Exchange" in line for line in between)
     join = next(i for i in range(folds[1], len(lines)) if "SortMergeJoin" in lines[i])
     assert not any("Exchange" in line for line in lines[folds[1] : join])
+
+
+@pytest.mark.parametrize("operator, family", FAMILIES[1:3])
+def test_levels_fold_without_sorting(spark, operator, family):
+    """Plain numbers are all that the aggregates over the matched rows hold."""
+    readings = operator(requests_from_orders(spark, SF), observations(spark, SF, family))
+    plan = plan_of(readings)
+    assert "min_by(value" in plan and "SortAggregate" not in plan
