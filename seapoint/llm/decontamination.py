@@ -213,9 +213,11 @@ def benchmark_hits(
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``documents`` without the rows whose text holds a benchmark window; columns unchanged.
 
-    A row with a null ``doc_id`` stays: nothing tells which one it is.
+    Rows are judged by their texts, told apart by SHA-256: one with a null ``doc_id`` goes too, a clean one that shares its id with
+    a contaminated one stays.
     """
+    text = documents["text"].cast("string")
     with scratch(documents.sparkSession) as kept:
-        hits = benchmark_hits(documents, benchmark, **how).filter("n_hit > 0")
-        dirty = kept(hits.select(F.col("doc_id").alias("dirty_doc_id")).distinct(), "dirty")
-    return documents.join(dirty, documents["doc_id"] == dirty["dirty_doc_id"], "left_anti")
+        hits = benchmark_hits(documents.select(F.sha2(text, 256).alias("doc_id"), documents["text"]), benchmark, **how)
+        dirty = kept(hits.filter("n_hit > 0").select(F.col("doc_id").alias("digest")).distinct(), "dirty")
+    return documents.join(dirty, F.sha2(text, 256) == dirty["digest"], "left_anti")

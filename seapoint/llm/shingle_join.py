@@ -319,19 +319,35 @@ def _open(groups: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each group, the one of the least ``doc_id``; columns unchanged.
+    """``documents`` with one row of each group of similar texts, the one of the least ``doc_id``; columns unchanged.
 
-    Rows with a null ``doc_id`` stay. Of rows that repeat a ``doc_id`` one stays.
+    Rows are judged by their texts, whatever their ids: a copy with a null ``doc_id`` goes like any other, and rows that repeat an id
+    with texts that have nothing in common stay. A null ``doc_id`` comes after all others; among rows of one id the choice falls by a hash
+    of the text, then of the whole row, so it is the same in every run. Rows without words stay. Texts are told apart by 64-bit hashes.
     """
-    found = link_documents(documents)
-    name = "gone_id"
-    while name in documents.columns:
-        name += "_"
-    gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
-    kept = documents.join(gone, documents["doc_id"] == F.col(name), "left_anti")
-    counted = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = staged(counted.filter("n > 1").select(F.col("doc_id").alias(name)), "again")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, kept["doc_id"] == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept["doc_id"] == F.col(name), "left_anti").unionByName(again)
+    text = F.xxhash64(F.coalesce(documents["text"].cast("string"), F.lit("")))
+    # Nulls are hashed as nothing, so that they are named beside the values.
+    whole = F.xxhash64(*[x for c in documents.columns for x in (documents[c], documents[c].isNull())])
+    with scratch(documents.sparkSession) as kept:
+        texts = documents.select(text.alias("doc_id"), documents["text"])
+        groups = (
+            link_documents(texts).filter("n_shingles > 0").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
+        )
+        rows = documents.select(text.alias("key"), whole.alias("row"), documents["doc_id"].cast("long").alias("id"))
+        # Copies of a whole row are one here, so a text that fills a third of the table is joined once for each of its rows' values.
+        rows = staged(rows.groupBy("key", "row", "id").agg(F.count("*").alias("n")), "rows")
+        named = staged(rows.join(staged(groups, "groups"), "key"), "named")
+        rank = F.struct(F.col("id").isNull().alias("last"), "id", "key", "row")
+        first = staged(named.groupBy("group").agg(F.min(rank).alias("first")), "first")
+        other = (F.col("key") != F.col("first.key")) | (F.col("row") != F.col("first.row"))
+        gone = kept(named.join(first, "group").filter(other).select("key", "row").distinct(), "gone")
+        again = kept(named.filter("n > 1").select("key", "row").distinct(), "again")
+
+    def met(found: DataFrame) -> Column:
+        return (text == found["key"]) & (whole == found["row"])
+
+    left = documents.join(gone, met(gone), "left_anti")
+    if again.isEmpty():
+        return left
+    # These are alike in every column, so it makes no difference which one stays.
+    return left.join(again, met(again), "left_anti").unionByName(left.join(again, met(again), "left_semi").distinct())
