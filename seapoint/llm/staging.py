@@ -14,9 +14,11 @@ _block: ContextVar[str | None] = ContextVar("block", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where none is named (tests), a new local one."""
+    """The folder named in ``spark.checkpoint.dir``; where none is named and all runs on one machine (tests), a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seapoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
