@@ -21,6 +21,7 @@ by ``sanitised`` and not looked at by ``personal_data``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ MIN_LETTERS = 3
 SUPPORT = 1
 DISCLOSURE = 0.9
 CHANCE = 0.01
+GROUP = 256
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -55,32 +57,51 @@ def _pieces(text: Column, pattern: Column | str) -> Column:
     return F.split(marked, _MARK, -1)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, and not for every element that ``body`` looks at."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What all elements before each one come to, from 0 on. In groups, so that no long array is copied element by element."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(done: Column, value: Column) -> Column:
+        return F.struct(combine(done["at"], value).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out"))
+
+    def groups(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / GROUP).cast("int"))
+        return F.transform(numbers, lambda g: F.aggregate(F.slice(whole, g * GROUP + 1, F.lit(GROUP)), start, step))
+
+    def together(parts: Column) -> Column:
+        before = F.aggregate(parts, start, lambda done, group: step(done, group["at"]))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda group, at: F.transform(group["out"], lambda x: combine(at, x))))
+
+    return _bound(_bound(values, groups), together)
+
+
 def _matches(text: Column, pattern: Column | str) -> Column:
     """All matches as (start, end, value, text before, text after)."""
-    pieces = _pieces(text, pattern)
-    none = F.array().cast(_SPANS)
-
-    def step(done: Column, piece: Column) -> Column:
-        to = done["at"] + F.char_length(piece)
-        found = F.struct(
-            done["at"].alias("start"), to.alias("end"), piece.alias("value"), done["last"].alias("before"), F.lit("").alias("after")
-        )
-        return F.struct(
-            to.alias("at"),
-            (~done["match"]).alias("match"),
-            piece.alias("last"),
-            F.when(done["match"], F.concat(done["spans"], F.array(found).cast(_SPANS))).otherwise(done["spans"]).alias("spans"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.lit("").alias("last"), none.alias("spans"))
-    spans = F.aggregate(pieces, start, step)["spans"]
-    # The piece after match i is piece 2 i + 2.
-    return F.transform(
-        F.arrays_zip(spans.alias("s"), F.filter(pieces, lambda _, i: (i % 2 == 0) & (i > 0)).alias("a")),
-        lambda x: F.struct(
-            x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value"), x["s"]["before"].alias("before"), x["a"].alias("after")
-        ),
-    )
+
+    def spans(pieces: Column) -> Column:
+        # Piece 2 i - 1 is match i, between the text before and after it.
+        def span(i: Column, starts: Column) -> Column:
+            at = F.get(starts, 2 * i - 1)
+            value = F.get(pieces, 2 * i - 1)
+            return F.struct(
+                at.alias("start"),
+                (at + F.char_length(value)).alias("end"),
+                value.alias("value"),
+                F.get(pieces, 2 * i - 2).alias("before"),
+                F.get(pieces, 2 * i).alias("after"),
+            )
+
+        numbers = F.sequence(F.lit(1), F.floor(F.size(pieces) / 2).cast("int"))
+        starts = _running(F.transform(pieces, lambda x: F.char_length(x)), lambda x, y: x + y)
+        found = _bound(starts, lambda known: F.transform(numbers, lambda i: span(i, known)))
+        return F.when(F.size(pieces) > 2, found.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
+
+    return _bound(_pieces(text, pattern), spans)
 
 
 def _luhn(digits: Column) -> Column:
@@ -190,9 +211,12 @@ def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     rows = rows.join(terms, "row", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     base = F.concat(*[F.col(k) for k in KINDS])
-    spans = F.filter(
-        _matches(F.col("text"), pattern),
-        lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+    spans = _bound(
+        base,
+        lambda known: F.filter(
+            _matches(F.col("text"), pattern),
+            lambda s: ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        ),
     )
     return rows.withColumn("term", F.when(F.col("terms").isNotNull(), spans).otherwise(F.array().cast(_SPANS)))
 
@@ -234,18 +258,33 @@ def sanitised(documents: DataFrame, support: int = SUPPORT, disclosure: float =
 
     spans = F.array_sort(F.concat(*[labelled(k) for k in LABELS]))
 
-    def step(done: Column, s: Column) -> Column:
-        gap = F.greatest(s["start"] - done["at"], F.lit(0))
-        piece = F.concat(F.substring(F.col("text"), done["at"] + 1, gap), s["label"])
-        return F.when(
-            s["end"] > done["at"],
-            F.struct(s["end"].alias("at"), F.concat(done["out"], F.array(piece)).alias("out")),
-        ).otherwise(F.struct(done["at"].alias("at"), done["out"].alias("out")))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
+    def replaced(found: Column) -> Column:
+        # A span that ends within those before it says nothing new.
+        covered = _running(F.transform(found, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+        parts = F.zip_with(found, covered, lambda s, at: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), at.alias("at")))
+        new = F.filter(parts, lambda s: s["end"] > s["at"])
+
+        # Each group is cut out of the text first: a place far into a long text is looked for once a group.
+        def pieces(part: Column) -> Column:
+            first, last = part[0]["at"], F.element_at(part, -1)["end"]
+            return _bound(
+                F.substring(F.col("text"), first + 1, last - first),
+                lambda cut: F.transform(
+                    part, lambda s: F.concat(F.substring(cut, s["at"] - first + 1, F.greatest(s["start"] - s["at"], F.lit(0))), s["label"])
+                ),
+            )
+
+        def groups(spans: Column) -> Column:
+            numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / GROUP).cast("int"))
+            return F.flatten(F.transform(numbers, lambda g: _bound(F.slice(spans, g * GROUP + 1, F.lit(GROUP)), pieces)))
+
+        out = _bound(new, groups)
+        return F.struct(F.array_max(F.transform(found, lambda s: s["end"])).alias("at"), out.alias("out"))
+
+    rows = rows.withColumn("done", F.when(F.size(spans) > 0, _bound(spans, replaced)))
     rest = F.substring(F.col("text"), F.col("done.at") + 1, F.char_length("text"))
-    rows = rows.withColumn("done", done).withColumn("clean", F.concat(F.array_join("done.out", ""), rest))
-    changed = F.size("done.out") > 0
+    rows = rows.withColumn("clean", F.concat(F.array_join("done.out", ""), rest))
+    changed = F.col("done").isNotNull()
     out = []
     for field in documents.schema.fields:
         column = F.col("doc").getField(field.name)

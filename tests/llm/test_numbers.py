@@ -12,7 +12,7 @@ import __spark_entry__
 import corpus_pipeline
 from seapoint.llm.components import connected_components
 from seapoint.llm.mixing import document_rates, fit_rates, mixed
-from seapoint.llm.pii import personal_data, sanitised
+from seapoint.llm.pii import GROUP, personal_data, sanitised
 from seapoint.llm.vector_join import link_vectors
 
 
@@ -52,6 +52,14 @@ def test_vectors(spark):
     assert link_vectors(frame.limit(0)).collect() == []
 
 
+def test_vectors_of_any_scale_link(spark):
+    """Only the direction counts, also where squares of components leave the range of doubles."""
+    rows = [(i, [x * scale, 2 * x * scale, -x * scale]) for i, (x, scale) in enumerate([(1.0, 1e200), (1.1, 1e-200), (3.0, 1.0), (1.0, 5e-324), (1.7, 1e307)])]
+    rows += [(9, [0.0, 1.0, 2.0]), (10, [0.0, 5e-324, 1e-323])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 9: (1, 9), 10: (1, 9)}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -95,6 +103,20 @@ def test_base_spans(spark):
     assert personal_data(docs.limit(0)).collect() == [] and sanitised(docs.limit(0)).collect() == []
 
 
+def test_base_spans_of_a_list(spark):
+    """Thousands of matches in one text, as in a directory; offsets are right beyond every group of pieces."""
+    text = " ".join(f"é{i} u{i}@host{i % 7}.org, +49 30 {1000000 + i} at 10.0.{i % 300}.{i % 256};" for i in range(1500))
+    docs = spark.createDataFrame([(1, text), (2, "u1@host1.org"), (3, text[:-1])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in personal_data(docs).collect()}
+    want = _base(text)
+    assert len(want) > 10 * GROUP
+    assert [x for x in rows[1].spans.split(",") if not x.startswith("term:")] == want
+    assert rows[2].spans == "email:0:12" and rows[3].base_sha256 == rows[1].base_sha256
+    clean = sanitised(docs.filter("doc_id = 3")).first().text
+    assert clean.count("[EMAIL], [PHONE] at ") == 1500 and clean.count("[IP]") == sum(x.startswith("ip") for x in want)
+    assert clean.startswith("é0 [EMAIL]") and "@" not in clean
+
+
 def test_disclosing_terms(spark):
     """A name that only ever stands beside one address gives it away; a word that others use does not."""
     told = [(i, f"note {i} from Zebulon common at z@home.org about topic{i}") for i in range(8)]
