@@ -53,8 +53,8 @@ def _read_vectors(vectors: DataFrame) -> tuple[DataFrame, type]:
                     out.append(None)
                     continue
                 v = x.values.to_numpy(zero_copy_only=False).astype(number)
-                norm = np.linalg.norm(v.astype(np.float64))
-                out.append(v.tobytes() if np.isfinite(norm) and norm > 0 else None)
+                largest = np.abs(v).max()
+                out.append(v.tobytes() if np.isfinite(largest) and largest > 0 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
     return (
@@ -65,7 +65,11 @@ def _read_vectors(vectors: DataFrame) -> tuple[DataFrame, type]:
 
 
 def _unit(rows: list[bytes], number) -> np.ndarray:
+    """Vectors of length 1. Scaled by the largest component first: squares of very large or small ones leave the range of doubles."""
     m = np.frombuffer(b"".join(rows), number).reshape(len(rows), -1).astype(np.float64)
+    # By an exact power of two, so that nothing is rounded; in two steps, as its inverse may not be a double.
+    power = np.frexp(np.abs(m).max(axis=1, keepdims=True))[1]
+    m = np.ldexp(np.ldexp(m, -(power // 2)), -(power - power // 2))
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
