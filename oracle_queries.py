@@ -233,6 +233,19 @@ FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM
 SELECT cell_lat, cell_lon, count(*) FILTER (value IS NOT NULL AND NOT isnan(value)) AS n_valid,
   count(*) FILTER (value IS NULL) AS n_null, count(*) FILTER (isnan(value)) AS n_nan
 FROM native GROUP BY cell_lat, cell_lon""",
+    "observations_as_known": _with(_native("VHM0", "native"))
+    + """,
+delivered AS (
+  SELECT time_utc, cell_lat, cell_lon, value, TIMESTAMP '2024-02-01' AS delivered_at FROM native
+  UNION ALL SELECT time_utc, cell_lat, cell_lon, value * CAST(1.25 AS DOUBLE), TIMESTAMP '2024-02-05'
+  FROM native WHERE day(time_utc) % 3 = 0
+  UNION ALL SELECT time_utc, cell_lat, cell_lon, CAST(NULL AS DOUBLE), TIMESTAMP '2024-02-09'
+  FROM native WHERE day(time_utc) % 2 = 0)
+SELECT known_at, time_utc, cell_lat, cell_lon, CASE WHEN isnan(value) THEN NULL ELSE value END AS value
+FROM delivered JOIN (VALUES (TIMESTAMP '2024-02-01 00:00:00'), (TIMESTAMP '2024-02-08 23:59:59'),
+  (TIMESTAMP '2024-03-01 00:00:00')) AS k(known_at) ON delivered_at <= known_at
+QUALIFY row_number() OVER (PARTITION BY known_at, time_utc, cell_lat, cell_lon
+  ORDER BY delivered_at DESC) = 1""",
     "product_provenance": _with(
         *[_native(v, f"native_{v}") for v in _RECIPES],
         "all_rows AS ("

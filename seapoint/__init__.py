@@ -9,6 +9,7 @@ from seapoint.operators.series import (
 )
 from seapoint.operators.waves import wave_gate, wave_measurement, with_kill_switch
 from seapoint.session import session
+from seapoint.sources.deliveries import as_known, deliver_observations, read_deliveries
 from seapoint.sources.observations import (
     as_observations,
     cube_to_rows,
@@ -35,14 +36,17 @@ __all__ = [
     "TEMPERATURE",
     "WAVES",
     "Product",
+    "as_known",
     "as_observations",
     "as_requests",
     "catalogue",
     "chlorophyll_latest",
     "cube_to_rows",
+    "deliver_observations",
     "land_observations",
     "latest_reading",
     "products",
+    "read_deliveries",
     "read_observations",
     "redeliver_observations",
     "request_extent",

@@ -4,7 +4,7 @@ Orders become requests spread around a coastal grid, events become native observ
 grow with the given tables.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seapoint.sources.products import Product, catalogue
@@ -130,3 +130,22 @@ def observations(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     """The observation table of a family, with depth levels where the product has them."""
     rows = observations_from_events(spark, sf_dir, family)
     return with_levels(rows) if family in ("temperature", "salinity") else rows
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wave observations in three deliveries: all, every third day corrected, every second day withdrawn."""
+    rows = observations_from_events(spark, sf_dir, "waves")
+    day = F.dayofmonth("time_utc")
+
+    def delivery(moment: str, value: Column, when: Column) -> Column:
+        of = F.struct(F.lit(moment).cast("timestamp_ntz").alias("delivered_at"), value.alias("value"))
+        return F.when(when, of)
+
+    made = F.array(
+        delivery("2024-02-01", F.col("value"), F.lit(True)),
+        delivery("2024-02-05", F.col("value") * 1.25, day % 3 == 0),
+        delivery("2024-02-09", F.lit(None).cast("double"), day % 2 == 0),
+    )
+    return rows.withColumn("d", F.explode(F.array_compact(made))).select(
+        *[c for c in rows.columns if c != "value"], "d.value", "d.delivered_at"
+    )

@@ -105,7 +105,7 @@ def land_observations(
     """
     if mode == "append":
         raise ValueError("append could store two values for one coordinate: redeliver_observations")
-    _laid_out(with_tiles(unique_coordinates(rows)), files).mode(mode).parquet(path)
+    laid_out(with_tiles(unique_coordinates(rows)), files).mode(mode).parquet(path)
 
 
 def redeliver_observations(rows: DataFrame, path: str, files: int | None = None) -> None:
@@ -132,11 +132,11 @@ def redeliver_observations(rows: DataFrame, path: str, files: int | None = None)
         delivered.withColumn("delivery", F.lit(1))
     )
     merged = both.groupBy(*COORDINATES).agg(F.max_by("value", "delivery").alias("value"))
-    writer = _laid_out(with_tiles(merged), files)
+    writer = laid_out(with_tiles(merged), files)
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def _laid_out(rows: DataFrame, files: int | None) -> DataFrameWriter:
+def laid_out(rows: DataFrame, files: int | None) -> DataFrameWriter:
     order = ("dataset_id", "obs_date", "tile_lat", "tile_lon", "cell_lat", "cell_lon", "time_utc")
     stored = rows.select(*STORED_OBSERVATIONS.names)
     ranged = (
@@ -183,7 +183,11 @@ def read_observations(
 
     ``extent`` comes from ``request_extent``; it only prunes, and changes no reading.
     """
-    stored = spark.read.schema(STORED_OBSERVATIONS).parquet(path)
+    return within_extent(spark.read.schema(STORED_OBSERVATIONS).parquet(path), product, extent)
+
+
+def within_extent(stored: DataFrame, product: Product, extent: dict | None) -> DataFrame:
+    """The rows of ``product`` that requests within ``extent`` can need, down to its depth ceiling."""
     if extent is None or None in extent.values():
         return subset(stored, product, max_depth_m=product.max_depth_m)
     back_days = 2 + int(-(-(product.max_age_h or 0) // 24))
