@@ -5,6 +5,8 @@ and its time range directly; windows use the fixed distance of five hours betwee
 and UTC.
 """
 
+from seapoint.sources.products import catalogue
+
 REQUESTS = """
 requests AS (
   SELECT o_orderkey AS request_id,
@@ -41,6 +43,8 @@ _SCOPES = {
     "so": "salinidad_regional_referencia",
     "CHL": "clorofila_regional_referencia",
 }
+# The texts are the catalogue's own: compared is that every reading, with data or without, carries its product's.
+_WARNINGS = {p.variable: p.scope_warning.replace("'", "''") for p in catalogue().values()}
 _RECIPES = {"VHM0": (3, 40, 0), "thetao": (6, 50, 15), "so": (6, 200, 34), "CHL": (24, 100, 0)}
 
 
@@ -183,7 +187,7 @@ SELECT r.request_id, r.lat, r.lon, r.date, r.hour_start AS hour_start_local,
   CASE WHEN c.n IS NOT NULL THEN c.cell_lon ELSE e.cell_lon END AS cell_lon,
   round(CASE WHEN c.n IS NOT NULL THEN c.km ELSE e.km END, 6) AS distance_km,
   '{_IDS[variable]}' AS dataset_id, '{variable}' AS variable, {units_column}
-  '{_SCOPES[variable]}' AS data_scope,
+  '{_SCOPES[variable]}' AS data_scope, '{_WARNINGS[variable]}' AS scope_warning,
   CASE WHEN c.n IS NOT NULL THEN 'valida_en_ventana'
     WHEN e.n IS NOT NULL THEN 'valida_cercana_en_tiempo' ELSE 'sin_datos' END AS status
 FROM windows r LEFT JOIN axis a USING (request_id) LEFT JOIN cell c USING (request_id)
@@ -328,7 +332,7 @@ FROM requests r LEFT JOIN top t USING (request_id)""",
 SELECT request_id, r.lat, r.lon, r.date, t.value AS significant_wave_height_m,
   t.time_utc AS max_time_utc, t.time_utc - INTERVAL 5 HOUR AS max_time_local, t.cell_lat, t.cell_lon,
   round(t.km, 6) AS distance_km, '{_IDS["VHM0"]}' AS dataset_id, 'VHM0' AS variable,
-  '{_SCOPES["VHM0"]}' AS data_scope, {_WAVE_STATUS} AS status,
+  '{_SCOPES["VHM0"]}' AS data_scope, '{_WARNINGS["VHM0"]}' AS scope_warning, {_WAVE_STATUS} AS status,
   coalesce(t.value >= CAST(1.5 AS DOUBLE), TRUE) AS kill_switch
 FROM requests r LEFT JOIN top t USING (request_id)""",
     "surface_level": _with(*_series_ctes("thetao"))
@@ -366,7 +370,7 @@ SELECT request_id, r.lat, r.lon, r.date, t.value AS value_mg_m3, t.time_utc,
   t.time_utc - INTERVAL 5 HOUR AS time_local, round(t.age, 6) AS temporal_age_hours,
   CAST(t.time_utc - INTERVAL 5 HOUR AS DATE) = r.date AS inside_requested_local_date,
   t.cell_lat, t.cell_lon, round(t.km, 6) AS distance_km, '{_IDS["CHL"]}' AS dataset_id,
-  'CHL' AS variable, 'milligram m-3' AS units, '{_SCOPES["CHL"]}' AS data_scope,
+  'CHL' AS variable, 'milligram m-3' AS units, '{_SCOPES["CHL"]}' AS data_scope, '{_WARNINGS["CHL"]}' AS scope_warning,
   {_LATEST_STATUS} AS status
 FROM requests r LEFT JOIN top t USING (request_id)""",
 }
