@@ -23,6 +23,7 @@ Shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from seapoint.llm.components import connected_components
 from seapoint.llm.staging import scratch, staged
-from seapoint.llm.words import Words, mixed, plain_words, signed, slices
+from seapoint.llm.words import SLICE_BYTES, Words, mixed, plain_words, signed, slices
 
 SHINGLE = 5
 PERCENT = 75
@@ -67,9 +68,9 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    return documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
+    """``doc_id, key, text``; rows of one id are told apart by the key."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def _vertices(rows: int, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -80,11 +81,25 @@ def _vertices(rows: int, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return signed(mixed(sums[0] ^ mixed(sums[1])))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: set size, vertex and dense sketch."""
+def _prefixes(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray, bits: int, late: np.ndarray) -> pa.ListArray:
+    """The first sketch positions of each set, in the order of all sets."""
+    place = hashes >> np.uint64(64 - bits)
+    rank = mixed(place) >> np.uint64(1)
+    if len(late):
+        at = np.minimum(np.searchsorted(late, place), len(late) - 1)
+        rank |= (late[at] == place).astype(np.uint64) << np.uint64(63)
+    order = np.lexsort((rank, owner))
+    start = np.concatenate([[0], np.cumsum(n)])
+    first = np.arange(len(owner)) - start[owner] < prefix_length(n)[owner]
+    ends = np.cumsum(np.bincount(owner[first], minlength=len(n)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(signed(place[order][first])))
+
+
+def _describe(bits: int, late, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row: set size, vertex, dense sketch and prefix."""
     for batch, texts in slices(batches):
         owner, hashes = shingle_sets(texts)
-        n = np.bincount(owner, minlength=len(texts))
+        n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
         width = DENSE_BITS // 64
         dense = np.zeros(len(texts) * width, np.uint64)
         place = hashes & np.uint64(DENSE_BITS - 1)
@@ -93,69 +108,60 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array(n.astype(np.int64)),
+                batch.column(1),
+                pa.array(n),
                 pa.array(_vertices(len(texts), owner, hashes)),
                 pa.ListArray.from_arrays(offsets, pa.array(signed(dense))),
+                _prefixes(owner, hashes, n, bits, late.value),
             ],
-            names=["doc_id", "n", "vertex", "dense"],
+            names=["doc_id", "key", "n", "vertex", "dense", "places"],
         )
 
 
-def _positions(bits: int, late: np.ndarray | None, whole: bool):
-    """A task that emits the sketch positions of each row: its whole set or its prefix."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
-            owner, hashes = shingle_sets(texts)
-            names = _vertices(len(texts), owner, hashes)
-            place = hashes >> np.uint64(64 - bits)
-            ordinal = np.zeros(len(owner), np.int64)
-            if not whole:
-                n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
-                rank = mixed(place) >> np.uint64(1)
-                if late is not None and len(late):
-                    at = np.minimum(np.searchsorted(late, place), len(late) - 1)
-                    rank |= (late[at] == place).astype(np.uint64) << np.uint64(63)
-                order = np.lexsort((rank, owner))
-                start = np.concatenate([[0], np.cumsum(n)])
-                ordinal = np.arange(len(owner)) - start[owner]
-                first = ordinal < prefix_length(n)[owner]
-                owner, place, ordinal = owner[first], place[order][first], ordinal[first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(place)), pa.array(names[owner]), pa.array(ordinal.astype(np.int32))],
-                names=["place", "doc", "ordinal"],
-            )
-
-    return emit
+def _all_places(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every sketch position of each row."""
+    for _, texts in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(signed(shingle_sets(texts)[1] >> np.uint64(64 - bits)))], names=["place"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch, texts in slices(batches):
         packed = pa.array([packer.compress(t or b"") for t in texts], pa.binary())
-        names = _vertices(len(texts), *shingle_sets(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), packed], names=["doc_id", "doc", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["doc_id", "key", "packed"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets are similar."""
-    unpack = zstandard.ZstdDecompressor()
+def _pair_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of ``a, b, pa, pb`` whose texts take about ``SLICE_BYTES`` when unpacked (one pair at least)."""
     for whole in batches:
+        # Sizes are read from few packed texts at a time.
         for at in range(0, whole.num_rows, 200):
             batch = whole.slice(at, 200)
-            rows = batch.num_rows
-            owner, hashes = shingle_sets([unpack.decompress(x) for c in (2, 3) for x in batch.column(c).to_pylist()])
-            n = np.bincount(owner, minlength=2 * rows)
-            # Both sets of a pair under one owner: what comes twice is shared.
-            pair = owner % rows
-            order = np.lexsort((hashes, pair))
-            pair, both = pair[order], hashes[order]
-            twice = (pair[1:] == pair[:-1]) & (both[1:] == both[:-1])
-            common = np.bincount(pair[1:][twice], minlength=rows)
-            keep = 100 * common >= PERCENT * (n[:rows] + n[rows:] - common)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i).filter(pa.array(keep & (common > 0))) for i in (0, 1)], names=["a", "b"]
-            )
+            sizes = (map(zstandard.frame_content_size, batch.column(c).to_pylist()) for c in (2, 3))
+            ends = np.cumsum([x + y for x, y in zip(*sizes, strict=True)])
+            start = 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+                yield batch.slice(start, end - start)
+                start = end
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are similar."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in _pair_slices(batches):
+        rows = batch.num_rows
+        owner, hashes = shingle_sets([unpack.decompress(x) for c in (2, 3) for x in batch.column(c).to_pylist()])
+        n = np.bincount(owner, minlength=2 * rows)
+        # Both sets of a pair under one owner: what comes twice is shared.
+        pair = owner % rows
+        order = np.lexsort((hashes, pair))
+        pair, both = pair[order], hashes[order]
+        twice = (pair[1:] == pair[:-1]) & (both[1:] == both[:-1])
+        common = np.bincount(pair[1:][twice], minlength=rows)
+        keep = 100 * common >= PERCENT * (n[:rows] + n[rows:] - common)
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep & (common > 0))) for i in (0, 1)], names=["a", "b"])
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -187,8 +193,8 @@ def _late_positions(rows: DataFrame, total: int, bits: int) -> np.ndarray:
     share = min(1.0, SAMPLE_DOCUMENTS / max(total, 1))
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     common = (
-        sample.select("doc_id", "text")
-        .mapInArrow(_positions(bits, None, True), "place long, doc long, ordinal int")
+        sample.select("text")
+        .mapInArrow(partial(_all_places, bits), "place long")
         .groupBy("place")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= SAMPLE_COUNT)
@@ -207,36 +213,34 @@ def link_documents(documents: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame) -> DataFrame:
-    described = staged(rows.mapInArrow(_describe, "doc_id long, n long, vertex long, dense array<long>"), "sets")
-    counted = described.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
-    # Positions enough that two different shingles hardly ever share one, so 14 bits beyond their number.
-    bits = min(63, max(32, int(counted.n or 1).bit_length() + 14))
-    rows = rows.filter("doc_id IS NOT NULL")
-    late = rows.sparkSession.sparkContext.broadcast(_late_positions(rows, counted.rows, bits))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _positions(bits, late.value, False)(batches)
-
-    # Equal sets are one vertex; one of its rows, that of the least id, shows its text.
-    usable = described.filter("doc_id IS NOT NULL AND n > 0")
-    shown = staged(usable.groupBy(F.col("vertex").alias("doc")).agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "shown")
-    places = rows.mapInArrow(emit, "place long, doc long, ordinal int")
-    met = staged(
-        places.groupBy("place").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("place"), "places"
-    )
-    with scratch(rows.sparkSession) as kept:
+    counted = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("size")).first()
+    # Positions enough that two different shingles hardly ever share one, so 14 bits beyond the most that there can be of them.
+    bits = min(63, max(32, (int(counted["size"] or 0) // 2).bit_length() + 14))
+    spark = rows.sparkSession
+    late = spark.sparkContext.broadcast(_late_positions(rows.filter("doc_id IS NOT NULL"), counted["rows"], bits))
+
+    with scratch(spark) as kept:
+        sets = "doc_id long, key long, n long, vertex long, dense array<long>, places array<long>"
+        sets = staged(rows.mapInArrow(partial(_describe, bits, late), sets), "prefixes")
+        described = kept(sets.drop("places"), "sets")
+        # Equal sets are one vertex; one of its rows, that of the least id, shows its text.
+        usable = described.filter("doc_id IS NOT NULL AND n > 0")
+        shown = staged(usable.groupBy(F.col("vertex").alias("doc")).agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "shown")
+        places = sets.filter("doc_id IS NOT NULL AND n > 0").select(F.col("vertex").alias("doc"), F.posexplode("places").alias("ordinal", "place"))
+        met = staged(
+            places.groupBy("place").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("place"), "places"
+        )
         groups = staged(places.join(met, "place").groupBy("place", "doc").agg(F.min("ordinal").alias("ordinal")), "groups")
         grouped = staged(groups.select("doc").distinct().join(shown, "doc"), "grouped")
-        # Rows that repeat both id and text show the same.
-        sketches = usable.select("doc_id", F.col("vertex").alias("doc"), "dense").join(grouped, ["doc", "doc_id"])
-        facts = kept(sketches.select("doc", "n", "dense").dropDuplicates(["doc"]), "facts")
-        packed = rows.mapInArrow(_pack, "doc_id long, doc long, packed binary")
-        texts = kept(packed.join(grouped.select("doc", "doc_id"), ["doc", "doc_id"]).select("doc", "packed").dropDuplicates(["doc"]), "packed")
+        # Rows that repeat an id with texts of equal sets show any of these.
+        sketches = usable.select("doc_id", "key", F.col("vertex").alias("doc"), "dense").join(grouped, ["doc", "doc_id"])
+        facts = kept(sketches.select("doc", "doc_id", "key", "n", "dense").dropDuplicates(["doc"]), "facts")
+        packed = rows.filter("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, key long, packed binary")
+        texts = kept(packed.join(facts.select("doc", "doc_id", "key"), ["doc_id", "key"]).select("doc", "packed").dropDuplicates(["doc"]), "packed")
         groups = kept(groups.join(grouped.select("doc", "n"), "doc"), "sized")
 
     edges = groups.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
     component = staged(connected_components(edges), "components")
-    spark = rows.sparkSession
     tested = None
     for least in (True, False):
         with scratch(spark) as kept:

@@ -6,8 +6,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
+from seapoint.llm import shingle_join
 from seapoint.llm.decontamination import benchmark_hits, without_contaminated
 from seapoint.llm.lm_scoring import score_documents
 from seapoint.llm.shingle_join import link_documents, one_of_each
@@ -145,6 +148,23 @@ def test_links_of_repeated_ids(spark, corpus):
     assert kept.columns == clash.columns and set(ids) == {root(i) for i, _ in rows} | {2} and ids.count(2) == 2
 
 
+def test_pairs_are_verified_in_slices_of_bytes(monkeypatch):
+    """However long the texts of many pairs are, only a few of them are unpacked at once."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(20_000)).encode() for _ in range(4)]
+    pairs = [(rng.randrange(4), rng.randrange(4)) for _ in range(100)]
+    packed = [zstandard.ZstdCompressor().compress(t) for t in texts]
+    columns = [pa.array(range(100)), pa.array(range(100, 200)), *(pa.array([packed[p[i]] for p in pairs], pa.binary()) for i in (0, 1))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "pa", "pb"])
+    seen, sets = [], shingle_join.shingle_sets
+    monkeypatch.setattr(shingle_join, "shingle_sets", lambda texts: seen.append(sum(map(len, texts))) or sets(texts))
+    found = [a for x in shingle_join._verify(iter([batch, batch.slice(0, 0)])) for a in x.column(0).to_pylist()]
+    assert found == [i for i, (x, y) in enumerate(pairs) if x == y]
+    assert max(seen) <= shingle_join.SLICE_BYTES and len(seen) > 2
+    monkeypatch.setattr(shingle_join, "SLICE_BYTES", 1)
+    assert sum(x.num_rows for x in shingle_join._verify(iter([batch]))) == len(found)
+
+
 def test_rows_are_judged_by_their_texts(spark):
     """Null ids, ids that repeat with other texts, rows that differ in other columns only, columns with any name, empty tables."""
     rng = random.Random(5)
