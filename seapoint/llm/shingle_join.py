@@ -8,6 +8,7 @@ many bits as the sets do, so a similarity of at least ``PERCENT`` bounds their H
   all. The order puts positions that are frequent in a bounded sample last; what the sample holds changes the work, not the result.
 - *Screen.* Partners must lie in each other's size band; what stands before their first common position is missing in the other, which
   bounds what they can share; and a dense sketch of ``DENSE_BITS`` bits gives a lower bound of the symmetric difference by ``bit_count`` alone.
+  In large sets it says nothing, so what it leaves goes through a sketch that grows with the set.
 - *Verify.* The exact similarity of the shingle sets of both whole texts.
 
 Vertices are the distinct sets: equal ones are one vertex from the start, whatever their ids. Then every vertex is verified against
@@ -95,26 +96,39 @@ def _prefixes(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray, bits: int, l
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(signed(place[order][first])))
 
 
+def _sketches(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Each set's parity sketch in ``DENSE_BITS`` bits, and one with two to four bits for each of its shingles, which folds to the other."""
+    least = DENSE_BITS // 64
+    width = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64) >> 6)
+    ends = np.concatenate([[0], np.cumsum(width)])
+    wide = np.zeros(ends[-1], np.uint64)
+    place = hashes & (width[owner].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    np.bitwise_xor.at(wide, ends[owner] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    dense = np.zeros((len(n), least), np.uint64)
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        dense[rows] = np.bitwise_xor.reduce(wide[ends[rows][:, None] + np.arange(w)].reshape(len(rows), -1, least), axis=1)
+    offsets = np.arange(len(n) + 1) * least
+    return tuple(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(x.ravel()))) for at, x in ((offsets, dense), (ends, wide)))
+
+
 def _describe(bits: int, late, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: set size, vertex, dense sketch and prefix."""
+    """Per row: set size, vertex, sketches and prefix."""
     for batch, texts in slices(batches):
         owner, hashes = shingle_sets(texts)
         n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
-        width = DENSE_BITS // 64
-        dense = np.zeros(len(texts) * width, np.uint64)
-        place = hashes & np.uint64(DENSE_BITS - 1)
-        np.bitwise_xor.at(dense, owner * width + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width)
+        dense, wide = _sketches(owner, hashes, n)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
                 pa.array(n),
                 pa.array(_vertices(len(texts), owner, hashes)),
-                pa.ListArray.from_arrays(offsets, pa.array(signed(dense))),
+                dense,
+                wide,
                 _prefixes(owner, hashes, n, bits, late.value),
             ],
-            names=["doc_id", "key", "n", "vertex", "dense", "places"],
+            names=["doc_id", "key", "n", "vertex", "dense", "wide", "places"],
         )
 
 
@@ -179,13 +193,30 @@ def _shareable(a: str, b: str) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (left * (100 + PERCENT) >= PERCENT * (n + m))
 
 
+def _folded(own: Column, other: Column) -> Column:
+    """A sketch in as many bits as another one of at most half its length."""
+    size = F.size(other)
+    halves = F.zip_with(F.slice(own, 1, size), F.slice(own, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(own) > size, halves).otherwise(own)
+
+
+def _little_apart(a: Column, b: Column, n: Column) -> Column:
+    """Whether sketches of sets of ``n`` shingles together are near enough for a link."""
+    differing = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    # |A ^ B| = n + m - 2 common
+    return differing * (100 + PERCENT) <= (100 - PERCENT) * n
+
+
 def _screened(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """``pairs`` with the greater id first, those whose dense sketches differ little enough."""
+    """``pairs`` with the greater id first, those whose sketches differ little enough: dense ones, then those that grow with the sets."""
     x, y = (facts.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("dense").alias(f"d{k}")) for k in "ab")
-    differing = F.aggregate(F.zip_with("da", "db", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
-    # |A ^ B| = n + m - 2 common
-    bound = differing * (100 + PERCENT) <= (100 - PERCENT) * (F.col("na") + F.col("nb"))
-    return pairs.join(x, "a").join(y, "b").filter(bound).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = pairs.join(x, "a").join(y, "b").filter(_little_apart(F.col("da"), F.col("db"), F.col("na") + F.col("nb")))
+    near = staged(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("n")).distinct(), "dense")
+    x, y = (facts.select(F.col("doc").alias(k), F.col("wide").alias(f"w{k}")) for k in "ab")
+    a, b = F.col("wa"), F.col("wb")
+    # The sizes are within each other's band, so the lengths are equal or one is twice the other.
+    close = near.join(x, "a").join(y, "b").filter(_little_apart(_folded(a, b), _folded(b, a), F.col("n")))
+    return close.select("a", "b")
 
 
 def _late_positions(rows: DataFrame, total: int, bits: int) -> np.ndarray:
@@ -220,7 +251,7 @@ def _linked(rows: DataFrame) -> DataFrame:
     late = spark.sparkContext.broadcast(_late_positions(rows.filter("doc_id IS NOT NULL"), counted["rows"], bits))
 
     with scratch(spark) as kept:
-        sets = "doc_id long, key long, n long, vertex long, dense array<long>, places array<long>"
+        sets = "doc_id long, key long, n long, vertex long, dense array<long>, wide array<long>, places array<long>"
         sets = staged(rows.mapInArrow(partial(_describe, bits, late), sets), "prefixes")
         described = kept(sets.drop("places"), "sets")
         # Equal sets are one vertex; one of its rows, that of the least id, shows its text.
@@ -233,8 +264,8 @@ def _linked(rows: DataFrame) -> DataFrame:
         groups = staged(places.join(met, "place").groupBy("place", "doc").agg(F.min("ordinal").alias("ordinal")), "groups")
         grouped = staged(groups.select("doc").distinct().join(shown, "doc"), "grouped")
         # Rows that repeat an id with texts of equal sets show any of these.
-        sketches = usable.select("doc_id", "key", F.col("vertex").alias("doc"), "dense").join(grouped, ["doc", "doc_id"])
-        facts = kept(sketches.select("doc", "doc_id", "key", "n", "dense").dropDuplicates(["doc"]), "facts")
+        sketches = usable.select("doc_id", "key", F.col("vertex").alias("doc"), "dense", "wide").join(grouped, ["doc", "doc_id"])
+        facts = kept(sketches.select("doc", "doc_id", "key", "n", "dense", "wide").dropDuplicates(["doc"]), "facts")
         packed = rows.filter("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, key long, packed binary")
         texts = kept(packed.join(facts.select("doc", "doc_id", "key"), ["doc_id", "key"]).select("doc", "packed").dropDuplicates(["doc"]), "packed")
         groups = kept(groups.join(grouped.select("doc", "n"), "doc"), "sized")

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
@@ -165,6 +166,20 @@ def test_pairs_are_verified_in_slices_of_bytes(monkeypatch):
     assert sum(x.num_rows for x in shingle_join._verify(iter([batch]))) == len(found)
 
 
+def test_large_sets_are_screened(spark):
+    """A sketch that grows with the sets rejects large ones that have little in common, and no pair that links."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 64, 12_000, dtype=np.uint64)
+    sets = [pool[:4000], pool[500:4500], pool[500:3700], pool[4500:8500], pool[8000:12_000], pool[:60], pool[2:62], pool[:0]]
+    n = np.array([len(x) for x in sets])
+    dense, wide = shingle_join._sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n)
+    rows = list(zip(range(len(sets)), n.tolist(), dense.to_pylist(), wide.to_pylist()))
+    facts = spark.createDataFrame(rows, "doc long, n long, dense array<long>, wide array<long>")
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if n[b] and n[a] and 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b])]
+    got = {tuple(r) for r in shingle_join._screened(spark.createDataFrame(pairs, "a long, b long"), facts).collect()}
+    assert got == {(1, 0), (2, 0), (2, 1), (6, 5)}
+
+
 def test_rows_are_judged_by_their_texts(spark):
     """Null ids, ids that repeat with other texts, rows that differ in other columns only, columns with any name, empty tables."""
     rng = random.Random(5)
