@@ -1,8 +1,8 @@
 """From raw documents to a mixed training set, one operator after another.
 
 Each stage reads what the one before it wrote and decides on all of it: documents without a recognisable
-language go, one document of each group of near copies stays, documents that hold benchmark passages go, personal data is
-replaced by labels, and what is left gets the rates that mix it to the target weights.
+language go and the others carry the recognised one, one document of each group of near copies stays, documents that hold
+benchmark passages go, personal data is replaced by labels, and what is left gets the rates that mix each language to the target weights.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), by="lang")
 
 
 STAGES = [

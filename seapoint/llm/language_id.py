@@ -211,12 +211,13 @@ def identify_languages(documents: DataFrame, model: Model | None = None) -> Data
 
 
 def with_known_language(documents: DataFrame) -> DataFrame:
-    """``documents`` without the rows whose language cannot be told; columns unchanged.
+    """``documents`` without the rows whose language cannot be told; ``lang`` is the recognised one, the other columns are unchanged.
 
     Rejected are texts without a letter (``und``) and those with less than the least evidence of a learned language. Where no
-    model could be fitted, only texts without a letter go.
+    model could be fitted, only texts without a letter go, and ``lang`` stays.
     """
     model = fit_language_model(documents)
+    place = [c.lower() for c in documents.columns].index("lang")
     shared = documents.sparkSession.sparkContext.broadcast(model and model.parts())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +225,12 @@ def with_known_language(documents: DataFrame) -> DataFrame:
         for batch, texts in slices(batches, budget=512 << 10):
             for start in range(0, len(texts), 512):
                 rows, good = presence(texts[start : start + 512])
+                part = batch.slice(start, 512)
                 if fitted:
                     good = good & (fitted.evidence(rows) >= fitted.least)
-                yield batch.slice(start, 512).take(pa.array(np.flatnonzero(good)))
+                    names = pa.array([fitted.languages[k] for k in fitted.score(rows)[0]], pa.string())
+                    part = part.set_column(place, part.schema.field(place), names.cast(part.schema.field(place).type))
+                yield part.take(pa.array(np.flatnonzero(good)))
 
     return documents.mapInArrow(keep, documents.schema)
 

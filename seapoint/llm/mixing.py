@@ -216,17 +216,23 @@ def document_rates(documents: DataFrame, labels: DataFrame, weights: dict[str, f
     )
 
 
-def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, by: str | None = None) -> DataFrame:
     """``documents`` with their ``sampling_rate``; rows whose rate is 0 have no place in the mix and go.
 
-    The factors are fitted on numbers alone; the rows themselves are read once more at the end.
+    With ``by``, a column of few values such as the language, the rows of each value are mixed to the weights by themselves. The
+    factors are fitted on numbers alone; the rows themselves are read once more at the end.
     """
     with scratch(documents.sparkSession):
         model = fit_domains(documents, labels)
-        numbers = staged(with_posterior(documents, model, F.lit(0)), "posteriors")
-        factors = fit_rates(numbers, model["domains"], weights or WEIGHTS)
+        numbers = staged(with_posterior(documents, model, documents[by].cast("string") if by else F.lit(None).cast("string")), "posteriors")
+        values = [r.doc for r in numbers.select("doc").distinct().collect()] if by else [None]
+        factors = {x: fit_rates(numbers.filter(F.col("doc").eqNullSafe(F.lit(x))), model["domains"], weights or WEIGHTS) for x in values}
     rows = with_posterior(documents, model, F.struct(*[documents[c] for c in documents.columns]))
+    value = F.col("doc").getField(by).cast("string") if by else F.lit(None).cast("string")
+    rate = F.lit(1.0)
+    for x, fitted in factors.items():
+        rate = F.when(value.eqNullSafe(F.lit(x)), _rate(fitted)).otherwise(rate)
     # Inlined, so that the optimiser does not copy the posterior into every use.
-    rows = rows.select("doc", F.inline(F.array(F.struct("n", "p")))).select("doc", _rate(factors).alias("rate"))
+    rows = rows.select("doc", F.inline(F.array(F.struct("n", "p")))).select("doc", rate.alias("rate"))
     out = [F.col("doc").getField(c).alias(c) for c in documents.columns if c != "sampling_rate"]
     return rows.filter("rate > 0").select(*out, F.col("rate").alias("sampling_rate"))

@@ -191,6 +191,17 @@ def test_rates_of_odd_tables(spark, corpus, nothing):
     assert out.columns == [*corpus.columns, "sampling_rate"] and out.count() == corpus.count()
 
 
+def test_rates_by_language(spark):
+    """Each language meets the targets by itself, so its share of the tokens stays."""
+    counts = {("en", 1): 180, ("en", 0): 20, ("de", 1): 60, ("de", 0): 140}
+    kinds = [kind for kind, n in counts.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, "fine words here" if q else "poor words here", k) for i, (k, q) in enumerate(kinds)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    got = mixed(docs, labels, {"high": 0.8, "low": 0.2}, by="lang").groupBy("lang", "text").agg(F.avg("sampling_rate").alias("rate")).collect()
+    want = {("en", "fine"): 160 / 180, ("en", "poor"): 2.0, ("de", "fine"): 160 / 60, ("de", "poor"): 40 / 140}
+    assert {(r.lang, r.text[:4]): r.rate for r in got} == pytest.approx(want, rel=0.02)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "decontamination", "pii", "mixing"]

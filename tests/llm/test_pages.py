@@ -4,6 +4,7 @@ import hashlib
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 import zstandard
 
 from seapoint.llm.html_text import extract_text, main_text
@@ -115,6 +116,14 @@ def test_languages_that_were_not_learned(spark):
         assert sorted(kept) == sorted(r.doc_id for r in learned.collect())
 
 
+def test_recognised_language_goes_on(spark):
+    """What follows reads the recognised language, also of documents that declare none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("declared", F.col("lang"))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 10 > 0, F.col("lang")))
+    found = with_known_language(docs).filter("doc_id % 10 = 0").selectExpr("count(*) AS n", "avg(CAST(lang <=> declared AS INT)) AS right").first()
+    assert found.n == docs.filter("lang IS NULL").count() and found.right >= 0.97
+
+
 @pytest.mark.parametrize(
     "part, kept",
     [
