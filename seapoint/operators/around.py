@@ -55,11 +55,14 @@ def around(windows: DataFrame, rows: DataFrame, keys: list[str], reach_hours: fl
     )
     # Spark normalises keys that are fractions anew in each step and would shuffle for each. With one shuffle
     # by a number that stands for them, all that follows groups within its partitions.
+    # Sorting in both directions takes some thirty times what the shuffle reads. A given number of partitions is
+    # not gathered into few large ones.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scan = ["place", *keys, "stretch"]
     united = (
         placed.unionByName(marks)
         .withColumn("place", F.xxhash64(*keys))
-        .repartition("place", "stretch")
+        .repartition(parts, "place", "stretch")
         .groupBy(*scan, "time_utc", "kind", *_WINDOW)
         .agg(F.min("value").alias("value"))
     )

@@ -43,6 +43,14 @@ def at(seconds):
     return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
+def test_scan_is_not_gathered(spark):
+    """However little the shuffle seems to hold, the scan keeps its partitions: sorting in both directions takes many times that."""
+    rows = spark.range(400).select((F.col("id") % 80).alias("k"), at(F.col("id") * 60).alias("time_utc"), F.lit(1.0).alias("value"))
+    asked = spark.range(80).select(F.col("id").alias("k"), at(F.lit(0)).alias("first_utc"), at(F.lit(80_000)).alias("last_utc"))
+    found = around(asked, rows, ["k"], 1.0).withColumn("partition", F.spark_partition_id()).collect()
+    assert len(found) == 80 and len({r.partition for r in found}) > 4
+
+
 @pytest.mark.parametrize("reach", [0.5, 3.0])
 def test_around_against_a_plain_loop(spark, reach):
     rng = random.Random(4)
