@@ -13,7 +13,8 @@ many bits as the sets do, so a similarity of at least ``PERCENT`` bounds their H
 
 Vertices are the distinct sets: equal ones are one vertex from the start, whatever their ids. Then every vertex is verified against
 one pivot of its groups, twice, and connected components are formed; after that only vertices of *different* components that
-share a position are still compared, which completes the components: a pair inside one component needs no link of its own.
+share a position are still compared, first each with the nearest sketch and then those that are still apart, which completes the
+components: a pair inside one component needs no link of its own.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing; a text of fewer words
 than a shingle is one shingle; a row with a null ``doc_id`` links with nothing and has no component; rows that repeat a
@@ -24,7 +25,7 @@ Shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ SAMPLE_DOCUMENTS = 8000
 SAMPLE_COUNT = 6
 MAX_LATE = 1 << 17
 DENSE_BITS = 1024
+SHORT_BITS = 512
 
 
 def lowered_words(text: bytes | None) -> list[bytes]:
@@ -207,6 +209,39 @@ def _little_apart(a: Column, b: Column, n: Column) -> Column:
     return differing * (100 + PERCENT) <= (100 - PERCENT) * n
 
 
+def _short(dense: str) -> list[Column]:
+    """A dense sketch folded to ``SHORT_BITS`` bits, a column for each word: an expression that is compiled."""
+    words, width = DENSE_BITS // 64, SHORT_BITS // 64
+    folded = (reduce(Column.bitwiseXOR, [F.col(dense)[j] for j in range(i, words, width)]) for i in range(width))
+    return [x.alias(f"word{i}") for i, x in enumerate(folded)]
+
+
+def _last_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs ``a > b`` of different components that share a position of ``rest``, whose sizes and short sketches allow a link."""
+    x, y = rest.filter("component <> main").alias("x"), rest.alias("y")
+    # Both apart from the group's main component: the pair is met twice, and taken once.
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))
+    apart = sum(F.bit_count(F.col(f"x.word{i}").bitwiseXOR(F.col(f"y.word{i}"))) for i in range(SHORT_BITS // 64))
+    near = apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
+    met = (F.col("x.place") == F.col("y.place")) & (F.col("x.component") != F.col("y.component"))
+    found = x.join(y, met & once & _shareable("x", "y") & near)
+    share = (apart / (F.col("x.n") + F.col("y.n"))).alias("share")
+    return found.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"), share)
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each vertex of ``pairs(a, b, share)`` the pair that differs in the least share."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("doc"), F.struct("share", "a", "b").alias("pair"))
+    return both.groupBy("doc").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """``pairs`` of different components."""
+    x, y = (component.select(F.col("vertex").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    named = pairs.join(x, "a", "left").join(y, "b", "left")
+    return named.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+
+
 def _screened(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """``pairs`` with the greater id first, those whose sketches differ little enough: dense ones, then those that grow with the sets."""
     x, y = (facts.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("dense").alias(f"d{k}")) for k in "ab")
@@ -297,18 +332,18 @@ def _linked(rows: DataFrame) -> DataFrame:
     with scratch(spark) as kept:
         open_groups = _open(groups, component)
         pivots = staged(open_groups.groupBy("place").agg(F.min_by("component", "doc").alias("main")), "pivots")
-        rest = kept(open_groups.join(pivots, "place"), "rest")
-    x, y = rest.filter("component <> main").alias("x"), rest.alias("y")
-    # Both apart from the group's main component: the pair is met twice, and taken once.
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))
-    last = (
-        x.join(y, (F.col("x.place") == F.col("y.place")) & (F.col("x.component") != F.col("y.component")) & once & _shareable("x", "y"))
-        .select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"))
-        .distinct()
-    )
-    last = staged(_screened(staged(last.join(tested, ["a", "b"], "left_anti"), "near"), facts), "pairs")
-    edges = edges.unionByName(staged(_similar(last, texts), "similar"))
-    component = staged(connected_components(edges), "components")
+        rest = staged(open_groups.join(pivots, "place"), "rest")
+        # Sketches go along, so that the join of a large group makes rows of pairs that may link and not of all.
+        rest = staged(rest.join(facts.select("doc", *_short("dense")), "doc"), "rest")
+        last = staged(_last_pairs(rest).distinct(), "near")
+        last = kept(last.join(tested, ["a", "b"], "left_anti"), "untested")
+    # First each vertex with the one whose sketch is nearest, as that links most often and then no other pair inside the component is needed.
+    for nearest in (True, False):
+        with scratch(spark) as kept:
+            pairs = _nearest(last) if nearest else _apart(last, component)
+            pairs = staged(_screened(staged(pairs.select("a", "b"), "chosen"), facts), "pairs")
+            edges = edges.unionByName(kept(_similar(pairs, texts), "similar"))
+            component = kept(connected_components(edges), "components")
     return _named(described, usable, component)
 
 

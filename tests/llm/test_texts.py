@@ -180,6 +180,23 @@ def test_large_sets_are_screened(spark):
     assert got == {(1, 0), (2, 0), (2, 1), (6, 5)}
 
 
+def test_many_near_misses_are_not_all_compared(spark, monkeypatch):
+    """Of a large group about as similar as the limit, and one that shares a line only, few pairs are verified; no link is lost."""
+    rng = random.Random(2)
+    say = lambda n: [f"v{rng.randrange(900)}" for _ in range(n)]
+    template, line = say(200), say(30)
+    texts = [[w if rng.random() > 0.022 else f"n{rng.randrange(9000)}" for w in template] for _ in range(120)]
+    texts += [line + say(rng.randint(9, 14)) for _ in range(120)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    compared, similar = [], shingle_join._similar
+    monkeypatch.setattr(shingle_join, "_similar", lambda pairs, texts: compared.append(pairs.count()) or similar(pairs, texts))
+    _, root = _linked(rows)
+    got = {(r.doc_id, r.component_id) for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, root(i)) for i, _ in rows}
+    assert 1 < len({root(i) for i in range(120)}) < 100 and len({root(i) for i in range(120, 240)}) > 100
+    assert sum(compared) <= 4 * len(rows)
+
+
 def test_rows_are_judged_by_their_texts(spark):
     """Null ids, ids that repeat with other texts, rows that differ in other columns only, columns with any name, empty tables."""
     rng = random.Random(5)
