@@ -3,12 +3,13 @@
 A text goes to both tokenizers, and both give the same bytes: a space and the text. Groups are what lies between places
 where tokens of both end; the last tokens of a group are linked, as their bytes end together.
 
-- *First pass.* Each task counts its linked pairs of ids. What the tasks send is one row per distinct pair and task.
+- *First pass.* The texts are aligned, and each row's links written down, packed. Each task counts its linked pairs of ids. What the
+  tasks send is one row per distinct pair and task.
 - *Minimal perfect hashing.* The distinct pairs are dealt to buckets of about ``BUCKET_PAIRS``. In a bucket each pair gets a number
   below the number of its pairs, by levels of bit tables: a pair that is alone in its place of a level stays there, the others go on to the next, and
   its number is the rank of its bit. The pairs themselves are kept at these numbers, and every lookup is verified by them.
 - *Dense counts.* Tasks' counts become vectors indexed by that number, and these are summed in a tree of ``FAN`` at a time.
-- *Second pass.* The texts are aligned again, and the counts of their links are looked up. Up to ``MOST_SHARED`` distinct pairs, tables
+- *Second pass.* The counts of the links written down are looked up; no text is read again. Up to ``MOST_SHARED`` distinct pairs, tables
   and counts go to all tasks (17 bytes a pair). Beyond that links travel to the tables, in parts per bucket and group of tasks, and
   sums come back. Both ways give the same rows.
 
@@ -32,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,7 @@ from seapoint.llm.words import mixed, signed, slices
 
 BUCKET_PAIRS = 1 << 13
 MOST_SHARED = 1 << 21
+SLICE_LINKS = 1 << 19
 MOST_CHUNKS = 1 << 19
 LONG_CHUNK = 256
 FAN = 16
@@ -257,12 +260,34 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield batch, [(t or b"").decode("utf-8", "replace") for t in texts]
 
 
-def _counted(holders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first pass: this task's linked pairs and how often it has them."""
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+ALIGNED = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups_sha256 string"
+FIRST = ALIGNED + ", links binary, task long, pair long, n long"
+_KINDS = [pa.int64()] * 5 + [pa.string(), pa.binary()] + [pa.int64()] * 3
+_NAMES = ["doc_id", *COUNTS, "groups_sha256", "links", "task", "pair", "n"]
+
+
+def _packed(links: np.ndarray) -> bytes:
+    """Links as compressed bytes; equal bytes of neighbours stand together."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(links.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _first_pass(holders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its links, and (in rows without) this task's linked pairs and how often it has them."""
     aligner, task = _aligner(holders), TaskContext.get().partitionId()
     counts: Counter[int] = Counter()
 
-    def given() -> pa.RecordBatch:
+    def batch_of(**columns) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        given = [pa.array(columns[c], k) if c in columns else pa.nulls(rows, k) for c, k in zip(_NAMES, _KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays(given, names=_NAMES)
+
+    def counted() -> pa.RecordBatch:
         times = np.zeros(len(aligner.groups), np.int64)
         times[list(counts)] = list(counts.values())
         times = np.repeat(times, aligner.sizes[2])
@@ -270,17 +295,29 @@ def _counted(holders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         n = np.zeros(len(pairs), np.int64)
         np.add.at(n, at, times)
         counts.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(int((n > 0).sum()), task)), pa.array(signed(pairs[n > 0])), pa.array(n[n > 0])], names=["task", "pair", "n"]
-        )
+        return batch_of(task=np.full(int((n > 0).sum()), task), pair=signed(pairs[n > 0]), n=n[n > 0])
 
-    for _, texts in _texts(batches):
-        for numbers in aligner.numbers(texts):
+    for batch, texts in _texts(batches):
+        every = aligner.numbers(texts)
+        starts = np.concatenate([[0], np.cumsum(aligner.sizes[2])])
+        described, links = [], []
+        for numbers in every:
             counts.update(numbers or ())
+            described.append(_described(aligner, numbers))
+            links.append(_packed(_links_of(aligner, starts, numbers or [])))
+        yield batch_of(doc_id=batch.column(0), **dict(zip([*COUNTS, "groups_sha256"], map(list, zip(*described, strict=True)))), links=links)
         if len(aligner.groups) >= MOST_CHUNKS:
-            yield given()
+            yield counted()
             aligner.forget()
-    yield given()
+    yield counted()
+
+
+def _links_of(aligner: Aligner, starts: np.ndarray, numbers: list[int]) -> np.ndarray:
+    """The links of some chunks, one after another."""
+    at = np.array(numbers, np.int64)
+    sizes = aligner.sizes[2][at]
+    before = np.cumsum(sizes) - sizes
+    return aligner.links[np.repeat(starts[at] - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 def _aligner(holders) -> Aligner:
@@ -320,10 +357,6 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(second)), pa.array(np.frombuffer(sums, np.int64))], names=["second", "n"])
 
 
-COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-ALIGNED = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups_sha256 string"
-
-
 def _described(aligner: Aligner, numbers: list[int] | None) -> tuple:
     """Numbers of tokens, groups and links, and the digest."""
     if numbers is None:
@@ -333,68 +366,51 @@ def _described(aligner: Aligner, numbers: list[int] | None) -> tuple:
     return n_a, n_b, n_groups, n_groups, digest
 
 
-def _arrays(kinds, rows: list[tuple]) -> list[pa.Array]:
-    return [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds, strict=True)]
+def _row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``SLICE_LINKS`` links, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(batch["n_links"].to_numpy())
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + SLICE_LINKS, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
 
 
-def _looked_up(holders, lookup, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _looked_up(lookup, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The second pass with tables and counts at hand."""
-    aligner = _aligner(holders)
     held = lookup.value
     if "tables" not in held:
         held["tables"] = {b: PairTable(t, k) for b, t, k, _ in held["rows"]}
         held["sums"] = {b: np.frombuffer(s, np.int64) for b, _, _, s in held["rows"]}
-    # Per chunk: its links that are the best of their second id, the sum of counts, and links without any (in texts without tokens only).
-    found = np.zeros((3, 0), np.int64)
-
-    def filled(found: np.ndarray) -> np.ndarray:
-        sizes = aligner.sizes[2]
-        new = sizes[found.shape[1] :]
-        owner = np.repeat(np.arange(len(new)), new)
-        pairs = aligner.links[int(sizes[: found.shape[1]].sum()) :]
+    for batch in _row_slices(batches):
+        pairs, at = np.unique(np.concatenate([_unpacked(x) for x in batch["links"].to_pylist()]), return_inverse=True)
         n = np.zeros(len(pairs), np.int64)
         bucket = bucket_of(pairs, held["buckets"])
-        for b in np.unique(bucket):
-            here = np.flatnonzero(bucket == b)
-            if b in held["tables"]:
-                at = held["tables"][b].numbers(pairs[here])
-                n[here[at >= 0]] = held["sums"][b][at[at >= 0]]
-        second = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        top = n == held["best"][np.minimum(second, len(held["best"]) - 1)]
-        more = np.zeros((3, len(new)), np.int64)
-        for sums, values in zip(more, (top, n, n == 0), strict=True):
-            np.add.at(sums, owner, values)
-        return np.concatenate([found, more], axis=1)
-
-    for batch, texts in _texts(batches):
-        numbers = aligner.numbers(texts)
-        found = filled(found)
-        sums = [found[:, x or []].sum(axis=1).tolist() for x in numbers]
-        if any(unknown for _, _, unknown in sums):
-            raise LookupError(_UNCOUNTED)
-        rows = [(*_described(aligner, x), *s[:2]) for x, s in zip(numbers, sums, strict=True)]
-        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
-        yield pa.RecordBatch.from_arrays([batch.column(0), *_arrays(kinds, rows)], names=["doc_id", *COUNTS, "groups_sha256", "n_best", "count_sum"])
-        if len(aligner.groups) >= MOST_CHUNKS:
-            aligner.forget()
-            found = found[:, :0]
+        order = np.argsort(bucket, kind="stable")
+        present, first = np.unique(bucket[order], return_index=True)
+        for b, here in zip(present.tolist(), np.split(order, first[1:])):
+            if b not in held["tables"]:
+                raise LookupError(_UNCOUNTED)
+            n[here] = held["sums"][b][held["tables"][b].all_numbers(pairs[here])]
+        top = (n == held["best"][(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(batch["n_links"].to_numpy())])
+        sums = [np.diff(np.concatenate([[0], np.cumsum(x[at])])[ends]) for x in (top, n)]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch[c] for c in ("doc_id", *COUNTS, "groups_sha256")), *map(pa.array, sums)], names=["doc_id", *COUNTS, "groups_sha256", "n_best", "count_sum"]
+        )
 
 
-def _sent(holders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The second pass without: each row with its distinct links, to be sent to their tables."""
-    aligner = _aligner(holders)
-    for batch, texts in _texts(batches):
-        rows = []
-        every = aligner.numbers(texts)
-        starts = np.concatenate([[0], np.cumsum(aligner.sizes[2])])
-        for row, numbers in zip(batch["row"].to_pylist(), every, strict=True):
-            links = np.concatenate([aligner.links[starts[at] : starts[at + 1]] for at in numbers]) if numbers else np.zeros(0, np.uint64)
-            pairs, times = np.unique(links, return_counts=True)
-            rows.append((row, *_described(aligner, numbers), pairs.tolist(), times.tolist()))
-        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.list_(pa.int64())] * 2
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *_arrays(kinds, rows)], names=["doc_id", "row", *COUNTS, "groups_sha256", "pairs", "times"])
-        if len(aligner.groups) >= MOST_CHUNKS:
-            aligner.forget()
+    for batch in _row_slices(batches):
+        links = [np.unique(_unpacked(x), return_counts=True) for x in batch["links"].to_pylist()]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p, _ in links])]), pa.int32())
+        pairs, times = (np.concatenate(x) for x in zip(*links, strict=True))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (signed(pairs), times.astype(np.int64))]
+        names = ["doc_id", "row", *COUNTS, "groups_sha256"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *lists], names=[*names, "pairs", "times"])
 
 
 def _answered(best: np.ndarray, rows: pa.Table, tables: pa.Table) -> pa.Table:
@@ -419,9 +435,8 @@ def _dealt(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 # ---- passes -------------------------------------------------------------------------------
 
 
-def pair_counts(rows: DataFrame, holders) -> tuple[DataFrame, int, int]:
-    """``bucket, table, keys, sums`` of all linked pairs, the number of buckets and of pairs."""
-    parts = staged(rows.mapInArrow(partial(_counted, holders), "task long, pair long, n long"), "links")
+def pair_counts(parts: DataFrame) -> tuple[DataFrame, int, int]:
+    """``bucket, table, keys, sums`` of the linked pairs ``task, pair, n``, the number of buckets and of pairs."""
     pairs = staged(parts.select("pair").distinct(), "pairs")
     total = pairs.count()
     buckets = max(1, -(-total // BUCKET_PAIRS))
@@ -446,7 +461,9 @@ def align_tokens(documents: DataFrame, first_path: str, second_path: str, most_s
     holders = shared_file(spark, first_path), shared_file(spark, second_path)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scratch(spark) as kept:
-        counts, buckets, total = pair_counts(rows, holders)
+        first = staged(rows.mapInArrow(partial(_first_pass, holders), FIRST), "first")
+        counts, buckets, total = pair_counts(first.filter("pair IS NOT NULL").select("task", "pair", "n"))
+        rows = first.filter("links IS NOT NULL").select("doc_id", *COUNTS, "groups_sha256", "links")
         counts = staged(counts, "counts")
         # One number for each id of the second vocabulary.
         tops = counts.mapInArrow(_unfolded, "second long, n long").groupBy("second").agg(F.max("n").alias("n")).collect()
@@ -456,10 +473,10 @@ def align_tokens(documents: DataFrame, first_path: str, second_path: str, most_s
         order = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
         if total <= most_shared:
             lookup = spark.sparkContext.broadcast({"rows": [tuple(r) for r in counts.select("bucket", "table", "keys", "sums").collect()], "buckets": buckets, "best": best})
-            found = rows.mapInArrow(partial(_looked_up, holders, lookup), ALIGNED + ", n_best long, count_sum long")
+            found = rows.mapInArrow(partial(_looked_up, lookup), ALIGNED + ", n_best long, count_sum long")
             return kept(found.select(*order), "aligned")
         numbered = rows.withColumn("row", F.monotonically_increasing_id())
-        aligned = staged(numbered.mapInArrow(partial(_sent, holders), ALIGNED.replace("doc_id long", "doc_id long, row long") + ", pairs array<long>, times array<long>"), "aligned")
+        aligned = staged(numbered.mapInArrow(_sent, ALIGNED.replace("doc_id long", "doc_id long, row long") + ", pairs array<long>, times array<long>"), "aligned")
 
         # The part of a row's number that names its task, cut into stretches of rows.
         part = F.shiftright("row", 12).alias("part")

@@ -3,9 +3,13 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -100,3 +104,31 @@ def test_chunks_are_forgotten(spark, corpus, monkeypatch):
     """A small memory for chunks changes nothing."""
     monkeypatch.setattr(T, "MOST_CHUNKS", 40)
     assert _sorted(T.align_tokens(corpus, A, B).collect()) == _sorted(_expected([(r.doc_id, r.text) for r in corpus.collect()]))
+
+
+def test_texts_are_aligned_once(corpus, monkeypatch):
+    """The second pass needs the links that the first one wrote down and no text, a few rows or many at a time."""
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    seen, numbers = [], T.Aligner.numbers
+    monkeypatch.setattr(T.Aligner, "numbers", lambda self, texts: seen.extend(texts) or numbers(self, texts))
+    monkeypatch.setattr(T, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    holders = [SimpleNamespace(value={"file": Path(p).read_bytes()}) for p in (A, B)]
+    batch = pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}).to_batches()
+    first = pa.Table.from_batches(T._first_pass(holders, iter(batch)))
+    kept, counted = first.filter(pc.is_valid(first["links"])), first.filter(pc.is_valid(first["pair"]))
+    assert kept.num_rows + counted.num_rows == first.num_rows and set(counted["task"].to_pylist()) == {3}
+    pairs, n = counted["pair"].to_numpy().astype(np.uint64), counted["n"].to_numpy()
+    links = np.concatenate([T._unpacked(x) for x in kept["links"].to_pylist()])
+    assert dict(zip(pairs.tolist(), n.tolist())) == Counter(links.tolist())
+    hashed = T.PerfectHash(pairs)
+    keys, sums = np.empty(len(pairs), np.uint64), np.empty(len(pairs), np.int64)
+    keys[hashed(pairs)], sums[hashed(pairs)] = pairs, n
+    best = np.zeros(1 << 16, np.int64)
+    np.maximum.at(best, (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), n)
+    for most in (T.SLICE_LINKS, 300, 1):
+        monkeypatch.setattr(T, "SLICE_LINKS", most)
+        lookup = SimpleNamespace(value={"rows": [(0, hashed.dump(), keys.tobytes(), sums.tobytes())], "buckets": 1, "best": best})
+        out = pa.Table.from_batches(T._looked_up(lookup, iter(kept.combine_chunks().to_batches())))
+        got = zip(*(out[c].to_pylist() for c in ("doc_id", *T.COUNTS, "n_best", "count_sum", "groups_sha256")))
+        assert _sorted(got) == _sorted(_expected(rows))
+    assert len(seen) == len(rows)
