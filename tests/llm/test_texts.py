@@ -185,7 +185,7 @@ def test_many_near_misses_are_not_all_compared(spark, monkeypatch):
     rng = random.Random(2)
     say = lambda n: [f"v{rng.randrange(900)}" for _ in range(n)]
     template, line = say(200), say(30)
-    texts = [[w if rng.random() > 0.022 else f"n{rng.randrange(9000)}" for w in template] for _ in range(120)]
+    texts = [[w if rng.random() > 0.035 else f"n{rng.randrange(9000)}" for w in template] for _ in range(120)]
     texts += [line + say(rng.randint(9, 14)) for _ in range(120)]
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
     compared, similar = [], shingle_join._similar
@@ -194,7 +194,7 @@ def test_many_near_misses_are_not_all_compared(spark, monkeypatch):
     got = {(r.doc_id, r.component_id) for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(i, root(i)) for i, _ in rows}
     assert 1 < len({root(i) for i in range(120)}) < 100 and len({root(i) for i in range(120, 240)}) > 100
-    assert sum(compared) <= 4 * len(rows)
+    assert sum(compared) < 100
 
 
 def test_rows_are_judged_by_their_texts(spark):
