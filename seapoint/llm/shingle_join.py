@@ -30,7 +30,7 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seapoint.llm.components import connected_components
@@ -44,6 +44,7 @@ SAMPLE_COUNT = 6
 MAX_LATE = 1 << 17
 DENSE_BITS = 1024
 SHORT_BITS = 512
+BEFORE = 4
 
 
 def lowered_words(text: bytes | None) -> list[bytes]:
@@ -216,6 +217,12 @@ def _short(dense: str) -> list[Column]:
     return [x.alias(f"word{i}") for i, x in enumerate(folded)]
 
 
+def _with_before(rest: DataFrame) -> DataFrame:
+    """``rest`` with the ``BEFORE`` positions that stand before each one in its set, nearest first."""
+    order = Window.partitionBy("doc").orderBy("ordinal", "place")
+    return rest.select("*", *(F.lag("place", i + 1).over(order).alias(f"before{i}") for i in range(BEFORE)))
+
+
 def _last_pairs(rest: DataFrame) -> DataFrame:
     """Pairs ``a > b`` of different components that share a position of ``rest``, whose sizes and short sketches allow a link."""
     x, y = rest.filter("component <> main").alias("x"), rest.alias("y")
@@ -224,7 +231,9 @@ def _last_pairs(rest: DataFrame) -> DataFrame:
     apart = sum(F.bit_count(F.col(f"x.word{i}").bitwiseXOR(F.col(f"y.word{i}"))) for i in range(SHORT_BITS // 64))
     near = apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
     met = (F.col("x.place") == F.col("y.place")) & (F.col("x.component") != F.col("y.component"))
-    found = x.join(y, met & once & _shareable("x", "y") & near)
+    # A position just before, in both: the pair is met there, where more is left to share, and need not come again.
+    again = [F.coalesce(F.col(f"x.before{i}") == F.col(f"y.before{j}"), F.lit(False)) for i in range(BEFORE) for j in range(BEFORE)]
+    found = x.join(y, met & once & _shareable("x", "y") & ~reduce(Column.__or__, again) & near)
     share = (apart / (F.col("x.n") + F.col("y.n"))).alias("share")
     return found.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"), share)
 
@@ -334,7 +343,7 @@ def _linked(rows: DataFrame) -> DataFrame:
         pivots = staged(open_groups.groupBy("place").agg(F.min_by("component", "doc").alias("main")), "pivots")
         rest = staged(open_groups.join(pivots, "place"), "rest")
         # Sketches go along, so that the join of a large group makes rows of pairs that may link and not of all.
-        rest = staged(rest.join(facts.select("doc", *_short("dense")), "doc"), "rest")
+        rest = staged(_with_before(rest.join(facts.select("doc", *_short("dense")), "doc")), "rest")
         last = staged(_last_pairs(rest).distinct(), "near")
         last = kept(last.join(tested, ["a", "b"], "left_anti"), "untested")
     # First each vertex with the one whose sketch is nearest, as that links most often and then no other pair inside the component is needed.

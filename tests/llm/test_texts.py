@@ -197,6 +197,26 @@ def test_many_near_misses_are_not_all_compared(spark, monkeypatch):
     assert sum(compared) < 100
 
 
+def test_a_pair_comes_once_for_many_shared_positions(spark, monkeypatch):
+    """The join of the positions makes about one row for each pair of near misses, however much they share."""
+    rng = random.Random(4)
+    template = [f"v{rng.randrange(900)}" for _ in range(300)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"n{rng.randrange(9000)}" for w in template)) for i in range(80)]
+    made, last_pairs = [], shingle_join._last_pairs
+
+    def counted(rest):
+        pairs = last_pairs(rest)
+        made.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(shingle_join, "_last_pairs", counted)
+    _, root = _linked(rows)
+    got = {(r.doc_id, r.component_id) for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, root(i)) for i, _ in rows}
+    [(joined, pairs)] = made
+    assert pairs > 100 and joined < 1.2 * pairs
+
+
 def test_rows_are_judged_by_their_texts(spark):
     """Null ids, ids that repeat with other texts, rows that differ in other columns only, columns with any name, empty tables."""
     rng = random.Random(5)
