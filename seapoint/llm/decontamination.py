@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seapoint.llm.marks import without
 from seapoint.llm.staging import scratch, staged
 from seapoint.llm.words import Words, signed, slices
 
@@ -220,4 +221,5 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> D
     with scratch(documents.sparkSession) as kept:
         hits = benchmark_hits(documents.select(F.sha2(text, 256).alias("doc_id"), documents["text"]), benchmark, **how)
         dirty = kept(hits.filter("n_hit > 0").select(F.col("doc_id").alias("digest")).distinct(), "dirty")
-    return documents.join(dirty, F.sha2(text, 256) == dirty["digest"], "left_anti")
+    digest = F.sha2(text, 256)
+    return without(documents, F.xxhash64(digest), digest == dirty["digest"], dirty, F.xxhash64(dirty["digest"]))

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seapoint.llm.components import connected_components
+from seapoint.llm.marks import marks, without
 from seapoint.llm.staging import scratch, staged
 from seapoint.llm.words import SLICE_BYTES, Words, mixed, plain_words, signed, slices
 
@@ -425,8 +426,9 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     def met(found: DataFrame) -> Column:
         return (text == found["key"]) & (whole == found["row"])
 
-    left = documents.join(gone, met(gone), "left_anti")
+    left = without(documents, whole, met(gone), gone, gone["row"])
     if again.isEmpty():
         return left
     # These are alike in every column, so it makes no difference which one stays.
-    return left.join(again, met(again), "left_anti").unionByName(left.join(again, met(again), "left_semi").distinct())
+    copied = documents.filter(marks(again.select(F.col("row").alias("key")))(whole)).join(again, met(again), "left_semi")
+    return without(left, whole, met(again), again, again["row"]).unionByName(copied.join(gone, met(gone), "left_anti").distinct())

@@ -15,6 +15,7 @@ from seapoint.llm import shingle_join
 from seapoint.llm.decontamination import benchmark_hits, without_contaminated
 from seapoint.llm.lm_scoring import score_documents
 from seapoint.llm.shingle_join import link_documents, one_of_each
+from seapoint.llm.staging import staged
 from seapoint.llm.substring_dedup import COVER, PERIOD, remove_repeats
 
 
@@ -217,6 +218,35 @@ def test_a_pair_comes_once_for_many_shared_positions(spark, monkeypatch):
     assert pairs > 100 and joined < 1.2 * pairs
 
 
+def _moved(spark):
+    """Bytes written for shuffles so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    none, quantiles = context._jvm.java.util.ArrayList(), context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    """What drops few rows shuffles few texts."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(400)) for _ in range(300)]
+    rows = [*enumerate(texts), (300, texts[7]), (301, texts[8] + " tail"), (5, texts[5]), (302, None)]
+    docs = staged(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "docs")
+    benchmark = spark.createDataFrame([("q", " ".join(texts[3].split()[5:30]))], "item_id string, text string")
+    whole = sum(len(t) for t in texts)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept, clean = one_of_each(docs), without_contaminated(docs, benchmark)
+        at = _moved(spark)
+        assert sorted(r.doc_id for r in kept.collect()) == [*range(300), 302]
+        assert sorted(r.doc_id for r in clean.collect()) == sorted([i for i, _ in rows if i != 3])
+        assert _moved(spark) - at < whole / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_rows_are_judged_by_their_texts(spark):
     """Null ids, ids that repeat with other texts, rows that differ in other columns only, columns with any name, empty tables."""
     rng = random.Random(5)
