@@ -12,7 +12,8 @@ many bits as the sets do, so a similarity of at least ``PERCENT`` bounds their H
 - *Verify.* The exact similarity of the shingle sets of both whole texts.
 
 Vertices are the distinct sets: equal ones are one vertex from the start, whatever their ids. Then every vertex is verified against
-one pivot of its groups, twice, and connected components are formed; after that only vertices of *different* components that
+one pivot of its groups, twice, and connected components are formed; pivots are the vertices that have a group's position first, as these
+have least beside what the group shares and link to most of it. After that only vertices of *different* components that
 share a position are still compared, first each with the nearest sketch and then those that are still apart, which completes the
 components: a pair inside one component needs no link of its own.
 
@@ -46,6 +47,7 @@ MAX_LATE = 1 << 17
 DENSE_BITS = 1024
 SHORT_BITS = 512
 BEFORE = 4
+PARTS = 8
 
 
 def lowered_words(text: bytes | None) -> list[bytes]:
@@ -218,19 +220,62 @@ def _short(dense: str) -> list[Column]:
     return [x.alias(f"word{i}") for i, x in enumerate(folded)]
 
 
+def _short_apart(a: str, b: str) -> tuple[Column, Column]:
+    """Differing bits of the short sketches of two rows, and whether these are few enough for a link."""
+    apart = sum(F.bit_count(F.col(f"{a}.word{i}").bitwiseXOR(F.col(f"{b}.word{i}"))) for i in range(SHORT_BITS // 64))
+    return apart, apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _with_before(rest: DataFrame) -> DataFrame:
     """``rest`` with the ``BEFORE`` positions that stand before each one in its set, nearest first."""
     order = Window.partitionBy("doc").orderBy("ordinal", "place")
     return rest.select("*", *(F.lag("place", i + 1).over(order).alias(f"before{i}") for i in range(BEFORE)))
 
 
+def _sketched(open_groups: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of open groups with short sketches."""
+    return open_groups.join(facts.select("doc", *_short("dense")), "doc")
+
+
+def _stars(open_groups: DataFrame) -> DataFrame:
+    """Each vertex with one pivot, in ``a, b``: of those of its groups the one that it shares most positions with.
+
+    A group's pivot has its position first of all: in a group of variants of one text, the one that has least beside that text.
+    """
+    pivots = staged(open_groups.groupBy("place").agg(F.min(F.struct("ordinal", "doc", "component", "n")).alias("pivot")), "pivots")
+    return (
+        open_groups.join(pivots, "place")
+        .select("doc", "component", "pivot", F.struct("n", "ordinal").alias("own"))
+        .filter((F.col("component") != F.col("pivot.component")) & _shareable("own", "pivot"))
+        .groupBy(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
+        .agg(F.count("*").alias("n"))
+        .groupBy("a")
+        .agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    )
+
+
+def _near_pivots(rest: DataFrame) -> DataFrame:
+    """Each vertex outside a group's main component with one of the group's pivots, in ``a, b``: the one whose sketch is nearest.
+
+    A group is dealt to ``PARTS`` parts by the ids, and the vertex that has the position first is a part's pivot, so a vertex meets few rows however large the group is.
+    """
+    rest = staged(rest, "sketched")
+    row = F.struct("ordinal", "doc", "component", "n", *(f"word{i}" for i in range(SHORT_BITS // 64)))
+    part = F.pmod(F.xxhash64("doc"), F.lit(PARTS))
+    pivots = rest.groupBy("place", part.alias("part")).agg(F.min(row).alias("y")).select("place", "y")
+    x = rest.filter("component <> main").select("place", row.alias("x"))
+    apart, near = _short_apart("x", "y")
+    met = x.join(staged(pivots, "pivots"), "place").filter((F.col("x.component") != F.col("y.component")) & _shareable("x", "y") & near)
+    share = apart / (F.col("x.n") + F.col("y.n"))
+    return met.groupBy(F.col("x.doc").alias("a")).agg(F.min(F.struct(share.alias("share"), F.col("y.doc").alias("b"))).alias("y")).select("a", "y.b")
+
+
 def _last_pairs(rest: DataFrame) -> DataFrame:
     """Pairs ``a > b`` of different components that share a position of ``rest``, whose sizes and short sketches allow a link."""
     x, y = rest.filter("component <> main").alias("x"), rest.alias("y")
     # Both apart from the group's main component: the pair is met twice, and taken once.
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))
-    apart = sum(F.bit_count(F.col(f"x.word{i}").bitwiseXOR(F.col(f"y.word{i}"))) for i in range(SHORT_BITS // 64))
-    near = apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
+    apart, near = _short_apart("x", "y")
     met = (F.col("x.place") == F.col("y.place")) & (F.col("x.component") != F.col("y.component"))
     # A position just before, in both: the pair is met there, where more is left to share, and need not come again.
     again = [F.coalesce(F.col(f"x.before{i}") == F.col(f"y.before{j}"), F.lit(False)) for i in range(BEFORE) for j in range(BEFORE)]
@@ -318,21 +363,12 @@ def _linked(rows: DataFrame) -> DataFrame:
     edges = groups.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
     component = staged(connected_components(edges), "components")
     tested = None
-    for least in (True, False):
+    for first in (True, False):
         with scratch(spark) as kept:
             open_groups = _open(groups, component)
-            pivots = staged(open_groups.groupBy("place").agg((F.min if least else F.max)(F.struct("doc", "component", "n", "ordinal")).alias("pivot")), "pivots")
-            # One pivot for each vertex: the one that it shares most positions with.
-            stars = (
-                open_groups.join(pivots, "place")
-                .select("doc", "component", "pivot", F.struct("n", "ordinal").alias("own"))
-                .filter((F.col("component") != F.col("pivot.component")) & _shareable("own", "pivot"))
-                .groupBy(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
-                .agg(F.count("*").alias("n"))
-                .groupBy("a")
-                .agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-            )
-            pairs = _screened(staged(stars, "stars"), facts)
+            # One pivot for each vertex: the one that it shares most positions with, then, of several in each group, the one with the nearest sketch.
+            found = _stars(open_groups) if first else _near_pivots(_sketched(open_groups, facts))
+            pairs = _screened(staged(found, "stars"), facts)
             pairs = kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = pairs if tested is None else tested.unionByName(pairs)
             edges = edges.unionByName(kept(_similar(pairs, texts), "similar"))
@@ -340,11 +376,8 @@ def _linked(rows: DataFrame) -> DataFrame:
 
     # What is left: vertices that share a position but not a component.
     with scratch(spark) as kept:
-        open_groups = _open(groups, component)
-        pivots = staged(open_groups.groupBy("place").agg(F.min_by("component", "doc").alias("main")), "pivots")
-        rest = staged(open_groups.join(pivots, "place"), "rest")
         # Sketches go along, so that the join of a large group makes rows of pairs that may link and not of all.
-        rest = staged(_with_before(rest.join(facts.select("doc", *_short("dense")), "doc")), "rest")
+        rest = staged(_with_before(_sketched(_open(groups, component), facts)), "rest")
         last = staged(_last_pairs(rest).distinct(), "near")
         last = kept(last.join(tested, ["a", "b"], "left_anti"), "untested")
     # First each vertex with the one whose sketch is nearest, as that links most often and then no other pair inside the component is needed.
@@ -385,14 +418,14 @@ def _named(described: DataFrame, usable: DataFrame, component: DataFrame) -> Dat
 
 
 def _open(groups: DataFrame, component: DataFrame) -> DataFrame:
-    """``place, doc, component, n, ordinal`` of the groups that hold more than one component."""
+    """``place, doc, component, n, ordinal, main`` of the groups that hold more than one component; ``main`` is the least of them."""
     named = groups.join(component.withColumnRenamed("vertex", "doc"), "doc", "left").select(
         "place", "doc", "n", "ordinal", F.coalesce("component", "doc").alias("component")
     )
     with scratch(groups.sparkSession) as kept:
         named = staged(named, "named")
         open_places = staged(
-            named.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("place"),
+            named.groupBy("place").agg(F.min("component").alias("main"), F.max("component").alias("high")).filter("main < high").select("place", "main"),
             "open",
         )
         return kept(named.join(open_places, "place"), "open")

@@ -218,6 +218,24 @@ def test_a_pair_comes_once_for_many_shared_positions(spark, monkeypatch):
     assert pairs > 100 and joined < 1.2 * pairs
 
 
+def test_variants_of_one_text_leave_few_pairs(spark, monkeypatch):
+    """Of many variants of one text, about half of which link, few pairs are left when the pivots are done; none that links is lost."""
+    rng = random.Random(6)
+    template = [f"v{rng.randrange(900)}" for _ in range(150)]
+    rows = [(0, " ".join(template))]
+    for i in range(1, 300):
+        words = list(template)
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            words[at] = f"n{rng.randrange(90_000)}"
+        rows.append((i, " ".join(words)))
+    made, last_pairs = [], shingle_join._last_pairs
+    monkeypatch.setattr(shingle_join, "_last_pairs", lambda rest: made.append(last_pairs(rest).distinct().count()) or last_pairs(rest))
+    sets, root = _linked(rows)
+    got = {(r.doc_id, r.component_id) for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, root(i)) for i, _ in rows}
+    assert len({root(i) for i, _ in rows}) < 150 and made[0] < len(rows)
+
+
 def _moved(spark):
     """Bytes written for shuffles so far."""
     context = spark.sparkContext
