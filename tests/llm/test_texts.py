@@ -11,12 +11,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from seapoint.llm import shingle_join
+from seapoint.llm import lm_scoring, shingle_join
 from seapoint.llm.decontamination import benchmark_hits, without_contaminated
 from seapoint.llm.lm_scoring import score_documents
 from seapoint.llm.shingle_join import link_documents, one_of_each
 from seapoint.llm.staging import staged
 from seapoint.llm.substring_dedup import COVER, PERIOD, remove_repeats
+from seapoint.llm.words import Words
 
 
 def _words(text):
@@ -320,3 +321,19 @@ def test_scores_use_two_words_of_context(spark):
     texts = ["a x c"] * 4 + ["b x d"] * 4 + ["a x c", "a x d"]
     rows = {r.doc_id: r.log_score for r in score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert rows[8] - rows[9] > math.log(2)
+
+
+def test_common_words_are_sent_by_number(spark, corpus, monkeypatch):
+    """N-grams of common words keep apart by the numbers of their words, take fewer bytes than hashes, and score as with hashes."""
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(300)}".encode() for _ in range(200)] for _ in range(100)]
+    words = Words(texts)
+    for n in (1, 2, 3):
+        hashes = np.unique(lm_scoring._grams(words, n, np.empty(0, np.uint64))[0][2])
+        plain, (kind, at, keys) = lm_scoring._grams(words, n, np.unique(words.values))
+        keys = np.unique(keys)
+        assert (len(plain[1]), kind, len(at), len(keys)) == (0, 2 * n + 1, 100 * (201 - n), len(hashes))
+        assert len(lm_scoring._squeezed(lm_scoring._steps(keys))) < 0.7 * len(lm_scoring._squeezed(lm_scoring._steps(hashes)))
+    got = sorted(map(repr, score_documents(corpus, block_bytes=5000).collect()))
+    monkeypatch.setattr(lm_scoring, "CODED", 40)
+    assert sorted(map(repr, score_documents(corpus, block_bytes=9000).collect())) == got
