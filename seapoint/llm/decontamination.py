@@ -30,6 +30,8 @@ from seapoint.llm.words import Words, signed, slices
 SPAN = 10
 KGRAM = 6
 SCREEN_BITS = 1 << 22
+# Of text at a time in a Python worker, which takes many times as much for its words and hashes.
+SLICE_BYTES = 1 << 20
 
 # Bytes that are no part of a word become a blank; A-Z becomes a-z.
 _FOLD = bytes(
@@ -92,7 +94,7 @@ def _item_windows(items: DataFrame, span: int, kgram: int) -> DataFrame:
     """``item_id`` and all windows of each item."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, budget=SLICE_BYTES):
             words = Words([folded_words(t) for t in texts])
             found = [(span, *_spans(words, span, span, kgram))]
             for length in {int(n) for n in words.lengths if 0 < n < span}:
@@ -150,7 +152,7 @@ def benchmark_hits(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, budget=SLICE_BYTES):
             words = Words([folded_words(t) for t in texts])
             found = []
             for length in lengths:

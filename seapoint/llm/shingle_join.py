@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 from seapoint.llm.components import connected_components
 from seapoint.llm.marks import marks, without
 from seapoint.llm.staging import scratch, staged
-from seapoint.llm.words import SLICE_BYTES, Words, mixed, plain_words, signed, slices
+from seapoint.llm.words import Words, mixed, plain_words, signed, slices
 
 SHINGLE = 5
+# Of text at a time in a Python worker, which takes many times as much for its words and sets.
+SLICE_BYTES = 1 << 20
 PERCENT = 75
 SAMPLE_DOCUMENTS = 8000
 SAMPLE_COUNT = 6
@@ -120,7 +122,7 @@ def _sketches(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> tuple[pa.
 
 def _describe(bits: int, late, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row: set size, vertex, sketches and prefix."""
-    for batch, texts in slices(batches):
+    for batch, texts in slices(batches, budget=SLICE_BYTES):
         owner, hashes = shingle_sets(texts)
         n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
         dense, wide = _sketches(owner, hashes, n)
@@ -140,13 +142,13 @@ def _describe(bits: int, late, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 def _all_places(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every sketch position of each row."""
-    for _, texts in slices(batches):
+    for _, texts in slices(batches, budget=SLICE_BYTES):
         yield pa.RecordBatch.from_arrays([pa.array(signed(shingle_sets(texts)[1] >> np.uint64(64 - bits)))], names=["place"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
-    for batch, texts in slices(batches):
+    for batch, texts in slices(batches, budget=SLICE_BYTES):
         packed = pa.array([packer.compress(t or b"") for t in texts], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["doc_id", "key", "packed"])
 

@@ -337,3 +337,14 @@ def test_common_words_are_sent_by_number(spark, corpus, monkeypatch):
     got = sorted(map(repr, score_documents(corpus, block_bytes=5000).collect()))
     monkeypatch.setattr(lm_scoring, "CODED", 40)
     assert sorted(map(repr, score_documents(corpus, block_bytes=9000).collect())) == got
+
+
+def test_workers_hold_little_text_at_once(monkeypatch):
+    """However large a batch is, sets are made of about a megabyte of text at a time."""
+    texts = [(" ".join(f"{i}w{k}" for k in range(2000))).encode() for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(texts, pa.binary())], names=["doc_id", "key", "text"])
+    seen, sets = [], shingle_join.shingle_sets
+    monkeypatch.setattr(shingle_join, "shingle_sets", lambda texts: seen.append(sum(map(len, texts))) or sets(texts))
+    late = type("Late", (), {"value": np.empty(0, np.uint64)})
+    assert sum(x.num_rows for x in shingle_join._describe(40, late, iter([batch]))) == 400
+    assert sum(seen) == sum(map(len, texts)) > 5 << 20 and max(seen) <= 1 << 20
